@@ -4,7 +4,8 @@ The kernel of two spans sums, over all subsequences of three characters that lie
 ``REACH`` of each other, products of ``DECAY`` to the power of the lengths they stretch over, so
 gaps and inserted characters weaken a match without breaking it.  A document is a bag of
 sentences and a sentence a bag of spans: words, pieces of very long words, and runs of single
-characters.  The machine scores spans; a sentence or document counts as its worst span.
+characters.  The machine scores spans; a document's score is a logistic function of its
+``WORST`` worst ones.
 
 With landmarks l_j, K their kernel matrix and w the machine's weights over the Nyström features
 K^(-1/2) k(s), the decision is linear in the subsequences of s.  Scoring therefore needs one
@@ -14,7 +15,7 @@ weight for each of the 64^3 subsequences, whatever the number of landmarks.
 from __future__ import annotations
 
 import random
-import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,10 @@ _CLASS[ord("0") : ord("9") + 1] = np.arange(27, 37)
 # of a character beyond ASCII its last bytes count
 _CLASS[0x80:0xC0] = 37 + np.arange(64) % 27
 _STEPS = [(a, b) for b in range(2, REACH + 1) for a in range(1, b)]
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
+#: Length of the runs of bytes that point out a toxic text's first witnesses.
+GRAM = 4
+#: Spans that a document's score looks at, and the range to which their decisions are clipped.
+WORST, FLOOR, CEILING = 3, -0.5, 2.0
 
 
 def _padded(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +92,8 @@ def features(spans: list[bytes], known: np.ndarray) -> np.ndarray:
     out = np.zeros((len(spans), len(known)), dtype=np.float32)
     place = np.full(64**3, -1, dtype=np.int64)
     place[known] = np.arange(len(known))
-    for at in range(0, len(spans), 1000):
-        part = spans[at : at + 1000]
+    for at in range(0, len(spans), 400):
+        part = spans[at : at + 400]
         classes, start = _padded(part)
         owner = np.repeat(np.arange(len(part)), np.diff(np.append(start, len(classes) - REACH)))
         flat = np.zeros(len(part) * len(known))
@@ -161,96 +165,187 @@ def disguises(span: bytes, rng: random.Random) -> list[bytes]:
 
 
 class Model:
-    """What workers need: subsequence weights, bias, and the slope and middle of the score."""
-
-    def __init__(self, table: np.ndarray, bias: float, slope: float, middle: float):
-        self.table, self.bias, self.slope, self.middle = table, bias, slope, middle
-
-    def score(self, decision: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (decision - self.middle), -30, 30)))
+    """What workers need: subsequence weights, bias, and the logistic function's weights."""
+
+    def __init__(self, table: np.ndarray, bias: float, logistic: np.ndarray):
+        self.table, self.bias, self.logistic = table, bias, logistic
+
+    def score(self, worst: np.ndarray) -> np.ndarray:
+        """Scores from the worst decisions of each document (documents x ``WORST``)."""
+        return 1 / (1 + np.exp(-np.clip(worst @ self.logistic[:-1] + self.logistic[-1], -30, 30)))
+
+
+def worst_decisions(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` documents its ``WORST`` largest values, clipped, largest first."""
+    out = np.full((n, WORST), FLOOR)
+    at = np.flatnonzero(values > FLOOR)
+    if len(at):
+        order = at[np.lexsort((-values[at], owner[at]))]
+        who = owner[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        top = place < WORST
+        out[who[top], place[top]] = np.minimum(values[order[top]], CEILING)
+    return out
 
 
-def _fresh(texts: list[str]) -> list[str]:
-    """The texts without those most of whose longer sentences an earlier one has."""
-    seen: set[str] = set()
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and bias of a ridge logistic regression, by Newton steps; weights are never
+    negative, so that a worse span never lowers a score."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    use = np.ones(x.shape[1], dtype=bool)
+    while True:
+        w = np.zeros(x.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x[:, use] @ w[use], -30, 30)))
+            ridge = np.full(use.sum(), 0.05)
+            step = np.linalg.solve((x[:, use] * (p * (1 - p) + 1e-9)[:, None]).T @ x[:, use] + np.diag(ridge), x[:, use].T @ (y - p) - ridge * w[use])
+            w[use] += np.clip(step, -3, 3)
+            if np.abs(step).max() < 1e-6:
+                break
+        if (w[:-1] >= 0).all():
+            return w
+        use[:-1] &= w[:-1] > 0
+
+
+def _fresh(texts: list[str]) -> list[list[bytes]]:
+    """The spans of each text, without texts that share much with an earlier one.
+
+    A text's sketch is the 16 smallest hashes of its longer spans; five in common are a copy.
+    """
+    seen: dict[int, list[int]] = {}
     out = []
     for text in sorted(set(texts)):
-        lines = {s for s in _SENTENCE.split(text) if s.count(" ") >= 3}
-        if not lines or 2 * len(lines & seen) <= len(lines):
-            out.append(text)
-        seen |= lines
+        spans = sorted(spans_of(text))
+        sketch = sorted(zlib.crc32(s) for s in spans if len(s) >= 6)[:16]
+        shared: dict[int, int] = {}
+        for h in sketch:
+            for k in seen.get(h, []):
+                shared[k] = shared.get(k, 0) + 1
+        if max(shared.values(), default=0) < 5:
+            for h in sketch:
+                seen.setdefault(h, []).append(len(out))
+            out.append(spans)
     return out
 
 
+def _grams(span: bytes) -> list[bytes]:
+    """Runs of bytes anywhere in a span, its beginnings, and the span."""
+    runs = [span[i : i + GRAM] for i in range(max(1, len(span) - GRAM + 1))]
+    return [*runs, *[b"^" + span[:k] for k in range(GRAM + 1, min(9, len(span)))], b"^" + span + b"$"]
+
+
+def _evidence(toxic: list[list[bytes]], clean: list[list[bytes]]) -> dict[bytes, float]:
+    """How far the toxic texts with a run exceed, in standard deviations, the number that the
+    clean ones' share suggests; runs less than four times as frequent have none."""
+    counts: list[dict[bytes, int]] = [{}, {}]
+    memo: dict[bytes, list[bytes]] = {}
+    for k, bags in enumerate((toxic, clean)):
+        for bag in bags:
+            seen: set[bytes] = set()
+            for s in bag:
+                if s not in memo:
+                    memo[s] = _grams(s)
+                seen.update(memo[s])
+            for g in seen:
+                counts[k][g] = counts[k].get(g, 0) + 1
+    part = len(toxic) / max(1, len(clean))
+    expected = {g: counts[1].get(g, 0) * part for g in counts[0]}
+    return {g: (t - expected[g]) / np.sqrt(expected[g] + 1) for g, t in counts[0].items() if t >= max(2, 4 * expected[g])}
+
+
 def train(toxic: list[str], clean: list[str], seed: int = 3) -> Model:
     """Learn from texts of both labels.
 
     Every sentence of a clean text is a negative.  Of a toxic text at least one sentence is a
-    positive, and which one is learned: rounds of fitting and choosing each text's worst span
-    alternate, the first by how many toxic texts share a span that no clean one has.  Copies of
-    a text count once, so that chance words of much-copied texts aren't mistaken for cues.
+    positive, and which spans make it so is learned: at first those with the runs of characters
+    that speak most for the label, then, in rounds of fitting and choosing, those among them
+    that the machine finds worst.  Copies of a text count once, so that chance words of
+    much-copied texts aren't mistaken for cues.
     """
     rng = random.Random(seed)
-    toxic, clean = _fresh(toxic), _fresh(clean)
-    empty = Model(np.zeros(64**3, np.float32), -1.0, 4.0, 0.0)
-    if not toxic or not clean:
-        return empty
-    bags = [sorted(spans_of(t)) for t in toxic]
+    bags, plain_bags = _fresh(toxic), _fresh(clean)
+    empty = Model(np.zeros(64**3, np.float32), -1.0, np.append(np.ones(WORST), -4.0))
     plain: dict[bytes, int] = {}
-    for t in clean:
-        for s in spans_of(t):
+    for bag in plain_bags:
+        for s in bag:
             plain[s] = plain.get(s, 0) + 1
-    share: dict[bytes, int] = {}
+    evidence = _evidence(bags, plain_bags)
+    strength = lambda s: max((evidence.get(g, 0.0) for g in _grams(s)), default=0.0)
+    toxic_share: dict[bytes, int] = {}
     for bag in bags:
         for s in bag:
-            if s not in plain:
-                share[s] = share.get(s, 0) + 1
-    bags = [[s for s in bag if s in share] for bag in bags]
-    bags = [b for b in bags if b]
-    if not bags:
+            toxic_share[s] = toxic_share.get(s, 0) + 1
+    # a span that clean texts have must be far more frequent in toxic ones
+    fits = lambda s: toxic_share[s] >= 8 * plain.get(s, 0)
+    bags = [sorted(((strength(s), s) for s in bag if fits(s)), reverse=True) for bag in bags]
+    share: dict[bytes, int] = {}
+    chosen = []
+    for bag in bags:
+        # the strongest spans of a text
+        picked = [s for v, s in bag[:8] if v >= 3.0 and v >= 0.4 * bag[0][0]]
+        chosen.append(picked)
+        for s in picked:
+            share[s] = share.get(s, 0) + 1
+    if not share or not plain:
         return empty
-    chosen = [max(b, key=lambda s: (share[s], s)) for b in bags]
-    ordinary = sorted(plain)
+    ordinary = sorted(s for s in plain if s not in share)
     rng.shuffle(ordinary)
     # the commonest clean spans, and any others
-    common = sorted(plain, key=lambda s: (-plain[s], s))[:2000]
-    negatives = list(dict.fromkeys([*common, *ordinary[:8000]]))
-    model, candidates = empty, sorted(share)
-    for turn in range(4):
+    common = sorted(ordinary, key=lambda s: (-plain[s], s))[:2000]
+    negatives = list(dict.fromkeys([*common, *ordinary[:6000]]))
+    for turn in range(3):
         votes: dict[bytes, int] = {}
-        for s in chosen:
-            votes[s] = votes.get(s, 0) + 1
-        # a witness that several texts chose is a cue; one text's alone may be chance
-        cues = sorted((s for s in votes if votes[s] > 1), key=lambda s: (-votes[s], s)) or sorted(votes)
-        landmarks = cues[: LANDMARKS * 2 // 3]
+        for picked in chosen:
+            for s in picked:
+                votes[s] = votes.get(s, 0) + 1
+        cues = sorted(votes, key=lambda s: (-votes[s], s))
+        # one text's witness alone may be chance, unless there is little to learn from
+        cues = ([s for s in cues if votes[s] > 1] if len(cues) > 60 else cues)[:600]
+        landmarks = _spread(cues, LANDMARKS * 2 // 3)
         landmarks += ordinary[: LANDMARKS - len(landmarks)]
         known = np.unique(np.concatenate([t[t > 0] for _, t in _triples(_padded(landmarks)[0])]))
         if not len(known):
             return empty
         base = features(landmarks, known)
         root = _kernel_root(base)
-        positives = [*cues, *[d for s in cues for d in disguises(s, rng)]]
-        weights = np.array([1.0 + np.log1p(votes[s]) for s in cues] + [0.5] * 4 * len(cues))
-        decoys = [d for s in negatives[:1500] for d in disguises(s, rng)]
-        hard = sorted(ordinary, key=dict(zip(ordinary, decide(ordinary, model.table, model.bias), strict=True)).get)[-1500:] if turn else []
-        spans = [*positives, *negatives, *decoys, *hard]
-        y = np.where(np.arange(len(spans)) < len(positives), 1.0, -1.0)
-        weight = np.concatenate([weights, np.full(len(spans) - len(positives), weights.sum() / (len(spans) - len(positives)))])
-        x = features(spans, known) @ base.T @ root
-        w = _svm(x, y, weight, cost=10.0)
+        spans = [*cues, *[d for s in cues for d in disguises(s, rng)]]
+        weight = [1.0 + np.log1p(votes[s]) for s in cues] + [0.4] * 4 * len(cues)
+        positives = len(spans)
+        spans += negatives + [d for s in negatives[:1500] for d in disguises(s, rng)]
+        y = np.where(np.arange(len(spans)) < positives, 1.0, -1.0)
+        weight = np.append(weight, np.full(len(spans) - positives, 2 * sum(weight) / (len(spans) - positives)))
+        w = _svm(features(spans, known) @ base.T @ root, y, weight, cost=10.0)
         table = np.zeros(64**3, dtype=np.float32)
         table[known] = base.T @ (root @ w[:-1])
-        model = Model(table, float(w[-1]), 4.0, 0.0)
-        decisions = dict(zip(candidates, decide(candidates, table, model.bias), strict=True))
-        chosen = [max(b, key=lambda s: (decisions[s] + 0.05 * min(share[s], 10), s)) for b in bags]
-    # the middle of the score lies between the worst clean spans and the toxic texts' worst
-    quiet = np.quantile(decide(ordinary, model.table, model.bias), 0.9999)
-    loud = np.quantile([decisions[s] for s in chosen], 0.1)
-    middle = (2 * quiet + loud) / 3 if loud > quiet else quiet
-    model.slope = 6 / max(loud - quiet, 0.2)
-    # a decision in the middle scores THRESHOLD
-    model.middle = float(middle - np.log(THRESHOLD / (1 - THRESHOLD)) / model.slope)
-    return model
+        bias = float(w[-1])
+        noise = decide(ordinary, table, bias)
+        # the clean spans that the machine takes for the worst are negatives of the next round
+        negatives = list(dict.fromkeys([*negatives, *[ordinary[i] for i in np.argsort(-noise, kind="stable")[:1500]]]))
+        if turn < 2:
+            for k, bag in enumerate(bags):
+                strong = [s for e, s in bag if e >= 3.0]
+                values = decide(strong, table, bias)
+                keep = np.flatnonzero((values > 0) & (values >= values.max(initial=0) - 0.7))
+                chosen[k] = [strong[i] for i in keep[np.argsort(-values[keep], kind="stable")][:8]]
+    scorer = Scorer(Model(table, bias, empty.logistic))
+    texts = [*sorted(set(toxic)), *sorted(set(clean))]
+    y = np.arange(len(texts)) < len(set(toxic))
+    x = np.concatenate([scorer.worst(pa.array(texts[k : k + 100])) for k in range(0, len(texts), 100)])
+    return Model(table, bias, _logistic(x, y.astype(float)))
+
+
+def _spread(cues: list[bytes], most: int) -> list[bytes]:
+    """Cues in order, without those much like one that was taken."""
+    known = np.unique(np.concatenate([t[t > 0] for _, t in _triples(_padded(cues)[0])] or [np.zeros(0, np.int64)]))
+    if not len(known):
+        return cues[:most]
+    x = features(cues, known)
+    taken: list[int] = []
+    for limit in (0.5, 0.9):
+        for i in range(len(cues)):
+            if len(taken) < most and i not in taken and (not taken or float((x[taken] @ x[i]).max()) < limit):
+                taken.append(i)
+    return [cues[i] for i in taken]
 
 
 def _held_out():
@@ -312,15 +407,14 @@ class Scorer:
         return values[inverse]
 
     def worst(self, column: pa.Array) -> np.ndarray:
+        """The worst decisions of each text."""
         words = Words(*utf8(column))
-        out = np.full(len(words.first) - 1, -np.inf, dtype=np.float32)
-        full = np.diff(words.first) > 0
-        if full.any():
-            out[full] = np.maximum.reduceat(self._words(words), words.first[:-1][full])
+        n = len(words.first) - 1
+        owner = np.repeat(np.arange(n), np.diff(words.first))
         runs = [(a, p) for a, run in single_runs(words) for p in pieces(run)]
-        values = decide([p for _, p in runs], self.model.table, self.model.bias)
-        np.maximum.at(out, np.searchsorted(words.first, [a for a, _ in runs], side="right") - 1, values)
-        return out
+        values = [self._words(words)] if len(owner) else []
+        values.append(decide([p for _, p in runs], self.model.table, self.model.bias))
+        return worst_decisions(np.concatenate(values), np.concatenate([owner, owner[[a for a, _ in runs]] if runs else owner[:0]]), n)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -333,7 +427,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in chunks(batches):
-            score = model.score(scorer.worst(batch.column(1)).astype(np.float64))
+            score = model.score(scorer.worst(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     ship_package(docs.sparkSession)
