@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,18 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathweave.llm.scratch import save
-from pathweave.llm.words import chunks
+from pathweave.llm.words import Words, chunks, utf8
 from pathweave.session import ship_package
 
 SEQUENCE = 2048
 #: The id that ends each document.
 END_ID = 0
-#: Words that a worker remembers the ids of; full, it starts anew.
-MEMO_WORDS = 400_000
-
-#: Texts with other characters than these go through the tokenizer whole.  Within them a word
-#: between white space has the same ids wherever it stands.
-_OTHER = re.compile("[^\t\n\r\x0b\x0c -~¡-ɏ]")
+#: Words that a worker remembers the ids of (about 50 bytes each); full, it starts anew.
+MEMO_WORDS = 1_500_000
 
 
 def tokenizer_path() -> str:
@@ -34,28 +30,69 @@ def tokenizer_path() -> str:
 
 
 class Tokenizer:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes; equal words are tokenised once."""
+    """Ids of whole texts; a word that was met before is not tokenised again.
+
+    A word between white space has the same ids wherever it stands, as long as its text has no
+    characters beyond U+023F and no control characters; other texts go through the library
+    whole.
+    """
 
     def __init__(self, path: str):
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        other = [_OTHER.search(t) is not None for t in texts]
-        split = [[] if o else t.lower().split() for t, o in zip(texts, other, strict=True)]
-        new = list({w for words in split for w in words if w not in self.memo})
-        self.memo.update(zip(new, self._encode(new), strict=True))
-        known = self.memo.__getitem__
-        return [self._encode([t])[0] if o else b"".join(map(known, words)) for t, o, words in zip(texts, other, split, strict=True)]
+        self._clear()
+
+    def _clear(self) -> None:
+        # sorted hashes and, for each, the word's number; by number, where its ids lie in flat
+        self.hash, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _learn(self, hashes: np.ndarray, at: np.ndarray, words: list[str]) -> None:
+        found = [e.ids for k in range(0, len(words), 2048) for e in self.library.encode_batch(words[k : k + 2048], add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self.hash = np.insert(self.hash, at, hashes)
+        self.number = np.insert(self.number, at, len(self.size) + np.arange(len(found)))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum()))])
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        data, offsets = utf8(column)
+        words = Words(data, offsets)
+        odd = (data >= 0xC9) | _CONTROL[data]
+        odd[:-1] |= (data[:-1] == 0xC2) & (data[1:] <= 0xA0)
+        count = np.concatenate([[0], np.cumsum(odd)])
+        whole = count[offsets[1:]] > count[offsets[:-1]]
+        kept = np.repeat(~whole, np.diff(words.first))
+        start, end = words.start[kept], words.end[kept]
+        uniq, where, inverse = np.unique(words.hash[kept], return_index=True, return_inverse=True)
+        if len(self.hash) + len(uniq) > MEMO_WORDS:
+            self._clear()
+        at = np.searchsorted(self.hash, uniq)
+        new = np.ones(len(uniq), dtype=bool)
+        inside = at < len(self.hash)
+        new[inside] = self.hash[at[inside]] != uniq[inside]
+        if new.any():
+            raw = words.data.tobytes()
+            self._learn(uniq[new], at[new], [raw[start[i] : end[i]].decode() for i in where[new]])
+        token = self.number[np.searchsorted(self.hash, uniq)][inverse]
+        size = self.size[token]
+        after = np.cumsum(size)
+        total = int(after[-1]) if len(after) else 0
+        ids = self.flat[np.repeat(self.first[token] - (after - size), size) + np.arange(total)]
+        bounds = np.concatenate([[0], after])[np.concatenate([[0], np.cumsum(kept)])[words.first]]
+        out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for i in np.flatnonzero(whole):
+            out[i] = np.array(self.library.encode(column[i].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+        return out
+
+
+_CONTROL = np.zeros(256, dtype=bool)
+_CONTROL[[*range(9), *range(14, 32), 127]] = True
 
 
 def tokenize_pieces(docs: DataFrame, path: str | None = None, length: int = SEQUENCE) -> DataFrame:
@@ -74,8 +111,8 @@ def tokenize_pieces(docs: DataFrame, path: str | None = None, length: int = SEQU
         tokenizer = Tokenizer(path)
         for batch in chunks(batches):
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
+            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1)), strict=True):
+                ids = ids.astype("<u4").tobytes() + end
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
                     rows.append((doc, k, at // 4, len(part) // 4, part))
