@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pathweave.queries import graph, texts
+
 
 def queries() -> dict:
-    return {}
+    return {**graph.QUERIES, **texts.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**graph.SQL, **texts.SQL}
