@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # The patterns that mark a graph injection, then a prompt injection.
 GRAPH_INJECTION = [
@@ -58,11 +57,15 @@ def keyword_intent(text: Column, keywords: dict[str, list[str]]) -> Column:
 
     (0.0, ``general``) if no keyword is contained.
     """
-    scored = []
-    for i, (intent, words) in enumerate(keywords.items()):
-        n = reduce(lambda a, b: a + b, [F.when(text.contains(w), 1).otherwise(0) for w in words])
-        scored.append(F.struct(F.when(n > 0, F.least(F.lit(1.0), F.round(0.9 + 0.02 * n, 4))).otherwise(0.0).alias("score"), F.lit(-i).alias("ord"), F.lit(intent).alias("intent")))
-    best = F.array_max(F.array(*scored))
+    table = F.array(*[F.struct(F.lit(-i).alias("ord"), F.lit(intent).alias("intent"), F.array(*map(F.lit, words)).alias("words")) for i, (intent, words) in enumerate(keywords.items())])
+
+    def score(entry: Column) -> Column:
+        n = F.size(F.filter(entry["words"], lambda w: F.contains(text, w)))
+        return F.struct(F.when(n > 0, F.least(F.lit(1.0), F.round(0.9 + 0.02 * n, 4))).otherwise(0.0).alias("score"), entry["ord"].alias("ord"), entry["intent"].alias("intent"))
+
+    # a table and not a condition for each word, which generated code could not hold
+    scored = F.transform(table, score)
+    best = F.array_max(scored)
     general = F.struct(F.lit(0.0).alias("score"), F.lit("general").alias("intent"))
     found = F.when(best["score"] > 0, F.struct(best["score"].alias("score"), best["intent"].alias("intent"))).otherwise(general)
     return F.when(any_match(text, NEGATIONS), F.struct(F.lit(0.95).alias("score"), F.lit("exclusion_exception").alias("intent"))).otherwise(found)
@@ -70,7 +73,7 @@ def keyword_intent(text: Column, keywords: dict[str, list[str]]) -> Column:
 
 def disambiguate(text: Column, intent: Column, rules: list[tuple[list[str], list[str], str]]) -> Column:
     """The intent of the first rule with a word of both its lists in the text, else ``intent``."""
-    has = lambda words: reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    has = lambda words: text.rlike("|".join(words))
     return F.coalesce(*[F.when(has(a) & has(b), F.lit(then)) for a, b, then in rules], intent)
 
 
@@ -178,7 +181,7 @@ def jaro_winkler_of(a: str, b: str, scale: float = 0.1) -> float:
     return base + prefix * scale * (1 - base)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity of two columns; null if either is."""
     return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
