@@ -198,7 +198,7 @@ def merge_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _subgraph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    # both are read at every hop of a search
+    # both are read many times
     paths = _paths(spark, sf_dir, "coverage_lookup").persist()
     return traversal.nodes(paths).persist(), traversal.edges(paths, distinct_edges=True).persist()
 
