@@ -25,6 +25,8 @@ HASHES = BANDS * ROWS
 LEAST_AGREEMENT = 70
 #: Larger buckets are compared in blocks of so many members instead of by a join.
 BLOCK = 64
+#: The largest bitmap of ids that workers get (16 MB).
+MAX_BITS = 1 << 27
 
 _draw = np.random.RandomState(11)
 _A = (_draw.randint(0, 1 << 31, HASHES).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -80,30 +82,56 @@ def sketches(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, signature binary")
 
 
-def _bands(reps: DataFrame, *carry: str) -> DataFrame:
+def _bands(reps: DataFrame) -> DataFrame:
     """A row for each representative and band; ``key`` is the hash of the band's minima."""
     keys = [F.xxhash64(F.lit(i), F.substring(F.col("signature"), 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)]
-    return reps.select("rep", *carry, F.explode(F.array(*keys)).alias("key"))
+    return reps.select("rep", F.col("n_shingles").cast("int").alias("n_shingles"), F.explode(F.array(*keys)).alias("key"))
 
 
-def _agree(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _among(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``frame`` whose ``column`` is in ``ids`` (``id``), and maybe a few others.
+
+    A bitmap of hashed ids of ``MAX_BITS`` bits at most drops most other rows before they are
+    shuffled; if there are too many ids for it, the rows are semi-joined.
+    """
+    n = ids.count()
+    bits = 1 << max(16, (16 * n).bit_length())
+    if bits > MAX_BITS:
+        return frame.join(ids.withColumnRenamed("id", column), column, "left_semi").select(frame.columns)
+    place = F.pmod(F.xxhash64(F.col("id")), F.lit(bits))
+    words = ids.select(F.floor(place / 32).alias("w"), F.pow(F.lit(2.0), place % 32).cast("long").alias("b"))
+    found = words.groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
+    bitmap = np.zeros(bits // 32, dtype=np.int64)
+    bitmap[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    names = frame.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(len(names)).to_numpy()
+            keep = pa.array((bitmap[at >> 5] >> (at & 31)) & 1 == 1)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(len(names))], names)
+
+    hashed = frame.where(F.col(column).isNotNull()).select(*names, F.pmod(F.xxhash64(F.col(column)), F.lit(bits)).alias("_at"))
+    return hashed.mapInArrow(run, frame.schema)
+
+
+def _agree(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of which enough minima agree."""
-    side = lambda c: reps.select(F.col("rep").alias(c), F.col("signature").alias(f"s{c}"))
+    side = lambda c: signatures.select(F.col("rep").alias(c), F.col("signature").alias(f"s{c}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, HASHES) for i in (2, 3))
-            keep = (sa == sb).sum(axis=1) >= LEAST_AGREEMENT
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
+            keep = pa.array((sa == sb).sum(axis=1) >= LEAST_AGREEMENT)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, scope: str) -> DataFrame:
     """The pairs whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    source = _texts(docs).join(ids, "doc_id", "left_semi")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -119,7 +147,7 @@ def _links(docs: DataFrame, pairs: DataFrame, scope: str) -> DataFrame:
                 keep.append(both > 0 and 100 * both >= SIMILARITY * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
-    sets = save(source.mapInArrow(read, "doc_id long, shingles binary"), "shingles", scope)
+    sets = save(_among(_texts(docs), "doc_id", ids).mapInArrow(read, "doc_id long, shingles binary"), "shingles", scope)
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
     return joined.mapInArrow(compare, "a long, b long").distinct()
@@ -150,26 +178,27 @@ def components(edges: DataFrame, scope: str = "query") -> DataFrame:
         star = save(small.select("e.u", "e.v").where("u != v").distinct(), "edges", scope)
 
 
-def _cross_pairs(reps: DataFrame, labels: DataFrame, scope: str) -> DataFrame:
+def _cross_pairs(shared: DataFrame, labels: DataFrame, signatures: DataFrame, scope: str) -> DataFrame:
     """Pairs of one bucket in different components whose minima agree enough.
 
     The first round compared each member of a bucket with its least member only.  What that
     has not brought together is compared here, every pair of it: small buckets by a join, large
     ones in blocks of ``BLOCK`` members, so that no task holds a bucket and only agreeing pairs
-    come out.
+    come out.  ``shared`` has the buckets of several members.
     """
-    known = reps.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    known = save(known.withColumn("component", F.coalesce("component", "rep")), "labelled", scope)
-    rows = _bands(known, "component", "n_shingles")
+    rows = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = save(rows, "labelled", scope)
     open_ = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_ = save(open_.where("lo != hi").select("key", "n"), "open", scope)
     small = save(rows.join(open_.where(F.col("n") <= BLOCK).select("key"), "key"), "small", scope)
     a, b = (small.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "n_shingles")]) for x in "ab")
     near = (F.lit(100) * F.least("n_shingles_a", "n_shingles_b")) >= F.lit(SIMILARITY) * F.greatest("n_shingles_a", "n_shingles_b")
     pairs = a.join(b, "key").where((F.col("component_a") < F.col("component_b")) & near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    found = _agree(save(pairs, "cross", scope), reps)
-    large = open_.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = _bands(known, "component", "n_shingles", "signature").join(large, "key")
+    found = _agree(save(pairs, "cross", scope), signatures)
+    large = save(open_.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large", scope)
+    if not large.limit(1).count():
+        return found.distinct()
+    members = rows.join(large, "key").join(signatures, "rep")
     members = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "rep", "component", "n_shingles", "signature")
 
@@ -189,9 +218,7 @@ def _cross_pairs(reps: DataFrame, labels: DataFrame, scope: str) -> DataFrame:
             out_b += np.maximum(rep[hit], rep[k]).tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    if open_.where(F.col("n") > BLOCK).limit(1).count():
-        found = found.unionAll(members.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
-    return found.distinct()
+    return found.unionAll(members.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")).distinct()
 
 
 def near_duplicates(docs: DataFrame, scope: str = "query") -> DataFrame:
@@ -213,14 +240,17 @@ def near_duplicates(docs: DataFrame, scope: str = "query") -> DataFrame:
     members = full.select("doc_id", "set_digest").join(reps.select("set_digest", "rep"), "set_digest").select("doc_id", "rep")
     rows = _bands(reps)
     leaders = save(rows.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "leaders", scope)
-    pairs = rows.join(leaders, "key").where("a != rep").select("a", F.col("rep").alias("b")).distinct()
-    agreed = save(_agree(save(pairs, "pairs", scope), reps), "agreed", scope)
+    # most buckets have one member; from here on only the others are carried
+    shared = save(rows.join(leaders, "key"), "shared", scope)
+    signatures = save(_among(reps.select("rep", "signature"), "rep", shared.select(F.col("rep").alias("id")).distinct()), "signatures", scope)
+    pairs = shared.where("a != rep").select("a", F.col("rep").alias("b")).distinct()
+    agreed = save(_agree(save(pairs, "pairs", scope), signatures), "agreed", scope)
     links = save(_links(docs, agreed, scope), "links", scope)
     # a doc_id with several texts joins their representatives
     several = save(members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("doc_id", "a"), "several", scope)
     links = links.unionAll(members.join(several, "doc_id").select("a", F.col("rep").alias("b")))
     labels = components(links, scope)
-    cross = save(_cross_pairs(reps, labels, scope), "cross-agreed", scope)
+    cross = save(_cross_pairs(shared.drop("a"), labels, signatures, scope), "cross-agreed", scope)
     if cross.limit(1).count():
         more = save(_links(docs, cross, scope), "links", scope)
         if more.limit(1).count():
