@@ -1,35 +1,12 @@
-"""Intermediate tables in the folder that driver and executors share.
-
-``spark.checkpoint.dir`` names that folder.  Where it is unset and the master is local (as
-in tests), a temporary folder of the driver stands in; on a cluster an unset folder is an error.
-"""
+"""Intermediate tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; also made the checkpoint folder of the context if it has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        sc = spark.sparkContext
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        if sc.applicationId not in _own:
-            _own[sc.applicationId] = tempfile.mkdtemp(prefix="pathweave-")
-            atexit.register(shutil.rmtree, _own[sc.applicationId], ignore_errors=True)
-        base = _own[sc.applicationId]
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+from pathweave.session import shared_dir
 
 
 def save(df: DataFrame, name: str, scope: str = "query") -> DataFrame:
