@@ -19,7 +19,7 @@ SEQUENCE = 2048
 #: The id that ends each document.
 END_ID = 0
 #: Words that a worker remembers the ids of (about 50 bytes each); full, it starts anew.
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 1_200_000
 
 
 def tokenizer_path() -> str:
@@ -91,6 +91,16 @@ class Tokenizer:
         return out
 
 
+_tokenizers: dict[str, Tokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> Tokenizer:
+    """The worker's tokenizer: one for all its tasks, and so are the words it remembers."""
+    if path not in _tokenizers:
+        _tokenizers[path] = Tokenizer(path)
+    return _tokenizers[path]
+
+
 _CONTROL = np.zeros(256, dtype=bool)
 _CONTROL[[*range(9), *range(14, 32), 127]] = True
 
@@ -108,7 +118,7 @@ def tokenize_pieces(docs: DataFrame, path: str | None = None, length: int = SEQU
     schema = "doc_id long, piece int, start long, length long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(path)
+        tokenizer = worker_tokenizer(path)
         for batch in chunks(batches):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1)), strict=True):
