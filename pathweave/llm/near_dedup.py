@@ -23,8 +23,8 @@ HASHES = BANDS * ROWS
 #: Minima that must agree before full sets are compared; at similarity 0.75, 96 of 128 agree on
 #: average, and fewer than 70 with a probability below 1e-7.
 LEAST_AGREEMENT = 70
-#: Larger buckets are compared in blocks of so many members instead of by a join.
-BLOCK = 64
+#: Buckets of up to so many members are compared by a join, larger ones in blocks of so many.
+SMALL, BLOCK = 6, 64
 #: The largest bitmap of ids that workers get (16 MB).
 MAX_BITS = 1 << 27
 
@@ -190,12 +190,12 @@ def _cross_pairs(shared: DataFrame, labels: DataFrame, signatures: DataFrame, sc
     rows = save(rows, "labelled", scope)
     open_ = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_ = save(open_.where("lo != hi").select("key", "n"), "open", scope)
-    small = save(rows.join(open_.where(F.col("n") <= BLOCK).select("key"), "key"), "small", scope)
+    small = save(rows.join(open_.where(F.col("n") <= SMALL).select("key"), "key"), "small", scope)
     a, b = (small.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "n_shingles")]) for x in "ab")
     near = (F.lit(100) * F.least("n_shingles_a", "n_shingles_b")) >= F.lit(SIMILARITY) * F.greatest("n_shingles_a", "n_shingles_b")
     pairs = a.join(b, "key").where((F.col("component_a") < F.col("component_b")) & near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     found = _agree(save(pairs, "cross", scope), signatures)
-    large = save(open_.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large", scope)
+    large = save(open_.where(F.col("n") > SMALL).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large", scope)
     if not large.limit(1).count():
         return found.distinct()
     members = rows.join(large, "key").join(signatures, "rep")

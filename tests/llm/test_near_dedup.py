@@ -74,6 +74,7 @@ def test_query_matches_brute_force(spark, docs, texts, family, tmp_path):
 
 
 def test_blocks_of_a_large_bucket(spark, family, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     rows = list(enumerate(family))
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
