@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 import json
+from array import array
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,27 +73,50 @@ def schedule(weights: DataFrame) -> DataFrame:
     return slots.select(F.expr("s[b.i]._source AS _source"), F.expr("s[b.i].w AS w"), F.expr("s[b.i].n AS n"), "b.k", F.col("slot").cast("long").alias("slot"), "slots")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, seed: str = "mix", carry: list[str] | None = None) -> DataFrame:
-    """Give every row of ``docs`` (``doc_id``, ``source``) its place in the mixture.
+def earliest_deadlines(weights: list[Fraction], ends: list[int]) -> array:
+    """The number of the source that each slot takes, by exact weights of any size.
 
-    Returns ``_row`` (a struct of the row's columns, or of those in ``carry``, whatever their
-    names), ``block`` (the block's number in its source), ``place`` (the block's slot in the
-    whole schedule), ``rank`` (the row's number in its source, in an order drawn by ``seed``)
-    and ``in_mix``.  The schedule of one period is repeated.  Up to the first slot whose
-    source has no block left, the mixture holds its target weights: these blocks are
-    ``in_mix``; later ones keep their place but would shift the weights.  The last block of a
-    source may be short.  Null sources are a source of their own; null doc_ids come first in
-    their source; repeated rows each have a rank.  Rows of sources without weight have no
-    place and are not in the mix.  An empty table gives an empty result.
-
-    Ranks are counted within buckets of a source and the buckets' sizes summed up, so a source
-    of any size is spread over many tasks.
+    A weight is a source's share of the slots times the sum of weights.  Block k is released
+    and due as in :func:`schedule`, with no rounding of the weights, and each slot takes the
+    released block that is due first.  It ends before the first slot whose source s has no
+    block ``ends[s]``, so there are no more slots than blocks.
     """
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("_row"),
-        F.col("doc_id").cast("long").alias("_id"), _source().alias("_source"),
-        F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_hash"),
-    )
+    scale, order = max((w.denominator for w in weights), default=1), array("i")
+    # all denominators are powers of two, as the weights were floats
+    whole = [int(w * scale) for w in weights]
+    total, done = sum(whole), [0] * len(whole)
+    waiting = [(0, -(-total // w), s) for s, w in enumerate(whole)]
+    ready: list[tuple[int, int]] = []
+    while whole:
+        while waiting and waiting[0][0] <= len(order):
+            _, due, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, s))
+        s = heapq.heappop(ready)[1]
+        if done[s] == ends[s]:
+            break
+        order.append(s)
+        done[s] += 1
+        heapq.heappush(waiting, (done[s] * total // whole[s], -(-(done[s] + 1) * total // whole[s]), s))
+    return order
+
+
+def _exact(docs: DataFrame, weights: dict[str, float] | None, block: int) -> tuple[DataFrame, int, int]:
+    """``_source, block, place`` of the blocks in the mixture, the first slot after it, and the
+    number of documents."""
+    found = sorted((r["_source"], r["n"]) for r in docs.groupBy(_source().alias("_source")).agg(F.count("*").alias("n")).collect())
+    given = None if weights is None else {"n" if k is None else f"s:{k}": float(v) for k, v in weights.items() if v > 0}
+    part = [(s, n, Fraction(n**ALPHA if given is None else given[s])) for s, n in found if given is None or s in given]
+    order = np.frombuffer(earliest_deadlines([w for *_, w in part], [-(-n // block) for _, n, _ in part]), dtype=np.int32)
+    by = np.argsort(order, kind="stable")
+    count = np.bincount(order, minlength=len(part))
+    number = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)
+    names = pa.array([s for s, *_ in part], pa.string()).take(pa.array(order[by]))
+    table = pa.table({"_source": names, "block": pa.array(number, pa.int64()), "place": pa.array(by, pa.int64())})
+    return docs.sparkSession.createDataFrame(table, "_source string, block long, place long"), len(order), sum(n for _, n in found)
+
+
+def _periodic(docs: DataFrame, weights: dict[str, float] | None, block: int, period: int) -> tuple[DataFrame, int, int]:
+    """The plan of one period, the first slot whose block is missing, and the number of documents."""
     plan = schedule(source_weights(docs, weights, period))
     # at most PERIOD + MAX_SOURCES rows, whatever the documents
     found = plan.select("_source", "w", "n", "k", "slot", "slots").collect()
@@ -100,21 +128,54 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     each = {s: w for s, w, *_ in slots}
     # the slot in which a source's first missing block would stand
     horizon = min((b // each[s] * place[s, b % each[s]][1] + place[s, b % each[s]][0] for s, b in ends.items()), default=0)
-    total = sum(n for n in {s: n for s, _, n, *_ in slots}.values())
+    return table, horizon, sum(n for n in {s: n for s, _, n, *_ in slots}.values())
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None, seed: str = "mix", carry: list[str] | None = None) -> DataFrame:
+    """Give every row of ``docs`` (``doc_id``, ``source``) its place in the mixture.
+
+    Returns ``_row`` (a struct of the row's columns, or of those in ``carry``, whatever their
+    names), ``block`` (the block's number in its source), ``place`` (the block's slot in the
+    whole schedule), ``rank`` (the row's number in its source, in an order drawn by ``seed``)
+    and ``in_mix``.  Up to the first slot whose source has no block left, the mixture holds its
+    target weights: these blocks are ``in_mix``.  The last block of a source may be short.
+    Null sources are a source of their own; null doc_ids come first in their source; repeated
+    rows each have a rank.  Rows of sources without weight have no place and are not in the
+    mix.  An empty table gives an empty result.
+
+    Without ``period`` every block is scheduled from its source's exact weight, and later
+    blocks have no place.  With it weights are rounded to whole slots of a period, at least
+    one, whose schedule is repeated; later blocks keep their place but would shift the weights.
+
+    Ranks are counted within buckets of a source and the buckets' sizes summed up, so a source
+    of any size is spread over many tasks; a bucket's row has the places of its blocks.
+    """
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("_row"),
+        F.col("doc_id").cast("long").alias("_id"), _source().alias("_source"),
+        F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_hash"),
+    )
+    table, horizon, total = _exact(docs, weights, block) if period is None else _periodic(docs, weights, block, period)
     buckets = max(1, min(MAX_BUCKETS, -(-total // BUCKET_ROWS)))
     number = F.conv(F.substring("_hash", 1, 6), 16, 10).cast("long")
     rows = rows.withColumn("_bucket", F.floor(number * buckets / (1 << 24)).cast("int"))
     sizes = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("_source", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    bases = sizes.select("_source", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), "_n")
+    first, last = F.floor(F.col("_base") / block), F.floor((F.col("_base") + F.col("_n") - 1) / block)
+    spread = bases.select("_source", "_bucket", "_base", F.explode(F.sequence(first, last)).alias("block"))
+    if period is None:
+        spread = spread.join(table, ["_source", "block"], "left")
+    else:
+        spread = spread.join(table.select("_source", "w", "slots").distinct(), "_source", "left").withColumn("k", F.col("block") % F.col("w"))
+        spread = spread.join(table.select("_source", "k", "slot"), ["_source", "k"], "left")
+        spread = spread.withColumn("place", F.floor(F.col("block") / F.col("w")).cast("long") * F.col("slots") + F.col("slot"))
+    bases = spread.groupBy("_source", "_bucket", "_base").agg(F.sort_array(F.collect_list(F.struct("block", "place"))).alias("_blocks"))
     ranked = rows.withColumn("_in", F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_hash", "_id")) - 1)
     ranked = ranked.join(bases, ["_source", "_bucket"]).withColumn("rank", F.col("_base") + F.col("_in"))
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("long"))
-    per = F.broadcast(table.select("_source", "w", "slots").distinct())
-    ranked = ranked.join(per, "_source", "left").withColumn("k", F.col("block") % F.col("w"))
-    ranked = ranked.join(F.broadcast(table.select("_source", "k", "slot")), ["_source", "k"], "left")
-    at = F.floor(F.col("block") / F.col("w")).cast("long") * F.col("slots") + F.col("slot")
-    return ranked.select("_row", "rank", "block", at.alias("place"), F.coalesce(at < horizon, F.lit(False)).alias("in_mix"))
+    place = F.col("_blocks")[(F.col("block") - F.col("_blocks")[0]["block"]).cast("int")]["place"]
+    return ranked.select("_row", "rank", "block", place.alias("place"), F.coalesce(place < horizon, F.lit(False)).alias("in_mix"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -124,7 +185,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
 
 def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = mix(docs, carry=["doc_id", "source"])
+    # its SQL rounds the weights to slots of a period
+    out = mix(docs, period=PERIOD, carry=["doc_id", "source"])
     return out.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), "rank", "block", "place", "in_mix")
 
 

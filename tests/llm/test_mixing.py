@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
+from fractions import Fraction
 
-from pathweave.llm.mixing import mix, mixed, op10_mixing_sources
+from pathweave.llm.mixing import earliest_deadlines, mix, mixed, op10_mixing_sources
 from tests.llm.conftest import as_dir
 
 
@@ -55,3 +56,28 @@ def test_edge_cases(spark, docs, empty, nulls):
     none = mix(docs, {"src0": 1}).collect()
     assert {r["_row"].source for r in none if r.in_mix} == {"src0"}
     assert all(r.place is None for r in none if r["_row"].source != "src0")
+
+
+def test_source_of_one_row_keeps_its_share(spark):
+    """A rare source is not raised to a slot of a period, which would end the mixture early."""
+    sizes = {"hot": 60_000, None: 1} | {f"s{i:02}": 6000 for i in range(20)}
+    shares = {s: n**0.8 for s, n in sizes.items()}
+    ends = min(-(-n // 16) / (shares[s] / sum(shares.values())) for s, n in sizes.items())
+    names = ["hot"] * 60_000 + [f"s{i % 20:02}" for i in range(120_000)] + [None]
+    rows = spark.createDataFrame(list(enumerate(names)), "doc_id long, source string")
+    out = mix(rows)
+    places = [(r.place, r.source) for r in out.where("in_mix").select("place", "_row.source").distinct().collect()]
+    assert sorted(p for p, _ in places) == list(range(len(places))) and abs(len(places) - ends) < 2 * len(sizes)
+    done = Counter()
+    for t, (_, s) in enumerate(sorted(places, key=lambda p: p[0]), 1):
+        done[s] += 1
+        for source, share in shares.items():
+            assert abs(done[source] - t * share / sum(shares.values())) < 1 + 1e-9
+    assert mixed(rows).count() > 0.9 * 16 * ends
+    assert out.count() == len(names) and out.where("place is null and in_mix").count() == 0
+
+
+def test_exact_weights():
+    assert list(earliest_deadlines([], [])) == []
+    order = earliest_deadlines([Fraction(2.0**60), Fraction(1.0)], [1000, 1])
+    assert list(order) == [0] * 1000
