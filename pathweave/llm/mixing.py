@@ -17,8 +17,6 @@ BLOCK = 16
 PERIOD = 1000
 #: Without given weights a source's weight is its number of documents to this power.
 ALPHA = 0.8
-#: The plan is one row with an array over the sources; more than this is an error.
-MAX_SOURCES = 1000
 #: A source's documents are dealt into buckets of about so many rows to rank them, at most
 #: MAX_BUCKETS for each source.
 BUCKET_ROWS, MAX_BUCKETS = 512, 1 << 16
@@ -51,35 +49,14 @@ def _source():
     return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s:"), F.col("source").cast("string")))
 
 
-def schedule(weights: DataFrame) -> DataFrame:
-    """``_source, w, n, k, slot, slots``: the slot of each source's ``k``-th block in a period.
-
-    Block k of a source with w of the period's W slots is released at floor(k W / w) and due
-    at ceil((k + 1) W / w).  Each slot takes the released block that is due first, of equal
-    ones the first source.  As the weights sum to W, every block meets its deadline, and after
-    any number of slots each source has less than one block more or less than its weight asks.
-    """
-    plan = weights.agg(F.sort_array(F.collect_list(F.struct("_source", "w", "n"))).alias("s"), F.sum("w").alias("slots"))
-    plan = plan.select("slots", F.when(F.size("s") > MAX_SOURCES, F.raise_error(F.lit(f"more than {MAX_SOURCES} sources"))).otherwise(F.col("s")).alias("s")).where("slots > 0")
-    pick = """array_min(transform(acc.k, (x, i) -> IF(x * slots div s[i].w <= t,
-        struct(((x + 1) * slots + s[i].w - 1) div s[i].w AS due, i AS i), NULL))).i"""
-    fold = f"""aggregate(sequence(0L, slots - 1),
-        struct(transform(s, x -> 0L) AS k, cast(array() AS array<struct<i: int, k: bigint>>) AS out),
-        (acc, t) -> transform(array({pick}), p -> struct(
-            transform(acc.k, (x, i) -> x + IF(i = p, 1L, 0L)) AS k,
-            concat(acc.out, array(struct(p AS i, acc.k[p] AS k))) AS out))[0],
-        acc -> acc.out)"""
-    slots = plan.select("slots", "s", F.posexplode(F.expr(fold)).alias("slot", "b"))
-    return slots.select(F.expr("s[b.i]._source AS _source"), F.expr("s[b.i].w AS w"), F.expr("s[b.i].n AS n"), "b.k", F.col("slot").cast("long").alias("slot"), "slots")
-
-
 def earliest_deadlines(weights: list[Fraction], ends: list[int]) -> array:
     """The number of the source that each slot takes, by exact weights of any size.
 
-    A weight is a source's share of the slots times the sum of weights.  Block k is released
-    and due as in :func:`schedule`, with no rounding of the weights, and each slot takes the
-    released block that is due first.  It ends before the first slot whose source s has no
-    block ``ends[s]``, so there are no more slots than blocks.
+    Block k of a source with w of the weights' sum W is released at floor(k W / w) and due at
+    ceil((k + 1) W / w).  Each slot takes the released block that is due first, of equal ones
+    the first source.  So every block meets its deadline, and after any number of slots each
+    source has less than one block more or less than its weight asks.  It ends before the
+    first slot whose source s has no block ``ends[s]``, so there are no more slots than blocks.
     """
     scale, order = max((w.denominator for w in weights), default=1), array("i")
     # all denominators are powers of two, as the weights were floats
@@ -106,29 +83,32 @@ def _exact(docs: DataFrame, weights: dict[str, float] | None, block: int) -> tup
     found = sorted((r["_source"], r["n"]) for r in docs.groupBy(_source().alias("_source")).agg(F.count("*").alias("n")).collect())
     given = None if weights is None else {"n" if k is None else f"s:{k}": float(v) for k, v in weights.items() if v > 0}
     part = [(s, n, Fraction(n**ALPHA if given is None else given[s])) for s, n in found if given is None or s in given]
-    order = np.frombuffer(earliest_deadlines([w for *_, w in part], [-(-n // block) for _, n, _ in part]), dtype=np.int32)
-    by = np.argsort(order, kind="stable")
-    count = np.bincount(order, minlength=len(part))
-    number = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)
-    names = pa.array([s for s, *_ in part], pa.string()).take(pa.array(order[by]))
-    table = pa.table({"_source": names, "block": pa.array(number, pa.int64()), "place": pa.array(by, pa.int64())})
-    return docs.sparkSession.createDataFrame(table, "_source string, block long, place long"), len(order), sum(n for _, n in found)
+    source, number, place = _blocks([w for *_, w in part], [-(-n // block) for _, n, _ in part])
+    names = pa.array([s for s, *_ in part], pa.string()).take(pa.array(source))
+    table = pa.table({"_source": names, "block": pa.array(number, pa.int64()), "place": pa.array(place, pa.int64())})
+    return docs.sparkSession.createDataFrame(table, "_source string, block long, place long"), len(place), sum(n for _, n in found)
+
+
+def _blocks(weights: list[Fraction], ends: list[int]) -> tuple[np.ndarray, ...]:
+    """Sources, their blocks' numbers and slots of :func:`earliest_deadlines`, by source and block."""
+    order = np.frombuffer(earliest_deadlines(weights, ends), dtype=np.int32)
+    place = np.argsort(order, kind="stable")
+    count = np.bincount(order, minlength=len(weights))
+    return order[place], np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count), place
 
 
 def _periodic(docs: DataFrame, weights: dict[str, float] | None, block: int, period: int) -> tuple[DataFrame, int, int]:
-    """The plan of one period, the first slot whose block is missing, and the number of documents."""
-    plan = schedule(source_weights(docs, weights, period))
-    # at most PERIOD + MAX_SOURCES rows, whatever the documents
-    found = plan.select("_source", "w", "n", "k", "slot", "slots").collect()
-    slots = [tuple(r) for r in found]
-    fields = "_source: string, w: bigint, n: bigint, k: bigint, slot: bigint, slots: bigint"
-    table = _table(docs.sparkSession, [r.asDict() for r in found], fields)
-    place = {(s, k): (slot, total) for s, _, _, k, slot, total in slots}
-    ends = {s: -(-n // block) for s, _, n, _, _, _ in slots}
-    each = {s: w for s, w, *_ in slots}
+    """``_source, w, slots, k, slot``: the slot of each source's ``k``-th block in a period, the
+    first slot whose block is missing, and the number of documents."""
+    found = sorted(tuple(r) for r in source_weights(docs, weights, period).select("_source", "w", "n").collect())
+    each, slots = np.array([w for _, w, _ in found], dtype=np.int64), sum(w for _, w, _ in found)
+    source, k, slot = _blocks([Fraction(w) for _, w, _ in found], each.tolist())
+    names = pa.array([s for s, *_ in found], pa.string()).take(pa.array(source))
+    table = pa.table({"_source": names, "w": pa.array(each[source], pa.int64()), "slots": pa.array([slots] * len(k), pa.int64()), "k": pa.array(k, pa.int64()), "slot": pa.array(slot, pa.int64())})
     # the slot in which a source's first missing block would stand
-    horizon = min((b // each[s] * place[s, b % each[s]][1] + place[s, b % each[s]][0] for s, b in ends.items()), default=0)
-    return table, horizon, sum(n for n in {s: n for s, _, n, *_ in slots}.values())
+    starts, ends = np.cumsum(each) - each, [-(-n // block) for *_, n in found]
+    horizon = min((b // w * slots + int(slot[a + b % w]) for a, b, (_, w, _) in zip(starts.tolist(), ends, found, strict=True)), default=0)
+    return docs.sparkSession.createDataFrame(table, "_source string, w long, slots long, k long, slot long"), horizon, sum(n for *_, n in found)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None, seed: str = "mix", carry: list[str] | None = None) -> DataFrame:

@@ -81,3 +81,14 @@ def test_exact_weights():
     assert list(earliest_deadlines([], [])) == []
     order = earliest_deadlines([Fraction(2.0**60), Fraction(1.0)], [1000, 1])
     assert list(order) == [0] * 1000
+
+
+def test_any_number_of_sources(spark, tmp_path):
+    sizes = {f"host{i:04}": 1 + i % 3 for i in range(1500)} | {"hot": 400}
+    rows = frame(spark, sizes)
+    got = op10_mixing_sources(spark, as_dir(rows, tmp_path)).collect()
+    assert Counter(r.source for r in got) == sizes
+    first = {r.source: r.place for r in got if r.block == 0}
+    assert len(set(first.values())) == len(sizes) and all(r.place is not None for r in got)
+    kept = Counter(r.source for r in mixed(rows).collect())
+    assert sum(kept.values()) > 0 and all(kept[s] <= n for s, n in sizes.items())
