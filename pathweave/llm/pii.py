@@ -26,7 +26,14 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
+PATTERNS["month_date"] = PATTERNS["day_date"]
 KINDS = list(PATTERNS)
+#: Runs that may hold IBANs and cards next to other words and numbers, where a value may start
+#: in them, and its least and largest length with separators.
+RUNS = {
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]++)++(?![a-z])", "[A-Z]{2}[0-9]{2}", 12, 42),
+    "card": (r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+", "[0-9]", 13, 37),
+}
 
 _MARK, _ESCAPE = "\u0001", "\u0002"
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -111,10 +118,11 @@ def _iban(value: str, key: str) -> str:
     return f"transform(array({plain}), d -> array_join(transform(sequence(1, length({value})), j -> IF(substr({value}, j, 1) = ' ', ' ', {spot})), ''))[0]"
 
 
-def _date(value: str, year: str, month: str, day: str, key: str, back: str) -> str:
-    """A date of the range as another one, in the same format; out-of-range days walk on."""
+def _date(value: str, year: str, month: str, day: str, key: str, back: str, among: str = "true") -> str:
+    """A date of the range as another one, in the same format; days out of range or not ``among``
+    (SQL of w) walk on."""
     days = f"datediff(try_to_timestamp(concat_ws('-', {year}, {month}, {day}), 'yyyy-MM-dd'), DATE'{FIRST_DAY}')"
-    walk = f"aggregate(sequence(1, 64), {permute_number(f'cast({days} AS bigint)', DAY_SIDES, key)}, (w, q) -> IF(w < {DAYS}, w, {permute_number('w', DAY_SIDES, key)}))"
+    walk = f"aggregate(sequence(1, 64), {permute_number(f'cast({days} AS bigint)', DAY_SIDES, key)}, (w, q) -> IF(w < {DAYS} AND {among}, w, {permute_number('w', DAY_SIDES, key)}))"
     return f"transform(array(date_add(DATE'{FIRST_DAY}', cast({walk} AS int))), x -> {back})[0]"
 
 
@@ -126,23 +134,55 @@ def _ssn_ok(value: str) -> str:
     return f"(substr({value}, 1, 3) NOT IN ('000', '666') AND substr({value}, 1, 1) != '9' AND substr({value}, 5, 2) != '00' AND substr({value}, 8) != '0000')"
 
 
+def _iban_ok(value: str) -> str:
+    iban = f"replace({value}, ' ', '')"
+    return f"length({iban}) BETWEEN 15 AND 34 AND transform(array({iban}), x -> {_mod97('concat(substr(x, 5), substr(x, 1, 4))')})[0] = 1"
+
+
+def _card_ok(value: str) -> str:
+    return f"transform(array({_digits(value)}), x -> {_luhn_sum('x', 0)})[0] % 10 = 0"
+
+
 def _kinds(value: str) -> str:
     """SQL of the kind of a match, null if it is not valid."""
     whole = lambda k: f"regexp_like({value}, {_quote('^(?:' + PATTERNS[k] + ')$')})"
     in_range = lambda y, m, d: f"coalesce(datediff(try_to_timestamp(concat_ws('-', {y}, {m}, {d}), 'yyyy-MM-dd'), DATE'{FIRST_DAY}') BETWEEN 0 AND {DAYS - 1}, false)"
     part = lambda a, n: f"substr({value}, {a}, {n})"
-    iban = f"replace({value}, ' ', '')"
     valid = {
         "email": "true",
         "iso_date": in_range(part(1, 4), part(6, 2), part(9, 2)),
         "day_date": in_range(part(7, 4), part(4, 2), part(1, 2)),
+        "month_date": in_range(part(7, 4), part(1, 2), part(4, 2)),
         "ip": f"forall({_octets(value)}, o -> cast(o AS int) <= 255)",
         "ssn": _ssn_ok(value),
         "phone": "true",
-        "iban": f"length({iban}) BETWEEN 15 AND 34 AND transform(array({iban}), x -> {_mod97('concat(substr(x, 5), substr(x, 1, 4))')})[0] = 1",
-        "card": f"transform(array({_digits(value)}), x -> {_luhn_sum('x', 0)})[0] % 10 = 0",
+        "iban": _iban_ok(value),
+        "card": _card_ok(value),
     }
-    return "CASE " + " ".join(f"WHEN {whole(k)} THEN IF({valid[k]}, '{k}', NULL)" for k in KINDS) + " END"
+    return "CASE " + " ".join(f"WHEN {whole(k)} AND {valid[k]} THEN '{k}'" for k in KINDS) + " END"
+
+
+def _scan(run: str, kind: str) -> str:
+    """SQL of a run with marks around the valid values of ``kind`` in it: from the left, the
+    longest one at each place, made of whole groups of characters."""
+    _, start, least, most = RUNS[kind]
+    ok = {"iban": _iban_ok, "card": _card_ok}[kind]("y")
+    cut = lambda a, b: f"substr({run}, {a}, {b})"
+    begins = f"(i = 1 OR NOT regexp_like({cut('i - 1', 1)}, '[A-Z0-9]')) AND regexp_like({cut('i', 4)}, '^{start}')"
+    whole = f"regexp_like(y, {_quote('^(?:' + PATTERNS[kind] + ')$')})"
+    fits = f"NOT regexp_like({cut('e + 1', 1)}, '[A-Z0-9]') AND exists(array({cut('i', 'e - i + 1')}), y -> {whole} AND {ok})"
+    ends = f"filter(reverse(sequence(i + {least - 1}, least(i + {most - 1}, length({run})))), e -> {fits})"
+    found = f"IF(i < acc.at OR i + {least - 1} > length({run}), 0, IF({begins}, coalesce(get({ends}, 0), 0), 0))"
+    step = f"""transform(array({found}), e -> IF(e = 0, acc, named_struct('at', e + 1,
+        'out', concat(acc.out, {cut('acc.at', 'i - acc.at')}, '{_MARK}', {cut('i', 'e - i + 1')}, '{_MARK}'))))[0]"""
+    return f"aggregate(sequence(1, length({run})), named_struct('at', 1, 'out', ''), (acc, i) -> {step}, acc -> concat(acc.out, {cut('acc.at', f'length({run})')}))"
+
+
+def _marked_runs(text: str, kind: str) -> str:
+    """SQL of a marked text with marks around the values of ``kind`` outside of marked ones."""
+    runs = f"split(regexp_replace(v, {_quote(RUNS[kind][0])}, '{_MARK}$0{_MARK}'), '{_MARK}', -1)"
+    plain = f"array_join(transform({runs}, (r, j) -> IF(j % 2 = 1, {_scan('r', kind)}, r)), '')"
+    return f"array_join(transform(split({text}, '{_MARK}', -1), (v, i) -> IF(i % 2 = 1, concat('{_MARK}', v, '{_MARK}'), {plain})), '')"
 
 
 def pseudonym(value: str, kind: str, key: str = KEY) -> str:
@@ -157,6 +197,8 @@ def pseudonym(value: str, kind: str, key: str = KEY) -> str:
         "email": f"concat({permute_string(f'''substring_index({value}, '@', 1)''', key + 'email')}, '@', substring_index({value}, '@', -1))",
         "iso_date": _date(value, f"substr({value}, 1, 4)", f"substr({value}, 6, 2)", f"substr({value}, 9, 2)", key + "date", "date_format(x, 'yyyy-MM-dd')"),
         "day_date": _date(value, f"substr({value}, 7, 4)", f"substr({value}, 4, 2)", f"substr({value}, 1, 2)", key + "date", f"concat(date_format(x, 'dd'), substr({value}, 3, 1), date_format(x, 'MM'), substr({value}, 6, 1), date_format(x, 'yyyy'))"),
+        # days up to 12 are read as dd/mm, so they are not among these
+        "month_date": _date(value, f"substr({value}, 7, 4)", f"substr({value}, 1, 2)", f"substr({value}, 4, 2)", key + "date", f"concat(date_format(x, 'MM'), substr({value}, 3, 1), date_format(x, 'dd'), substr({value}, 6, 1), date_format(x, 'yyyy'))", f"day(date_add(DATE'{FIRST_DAY}', cast(w AS int))) > 12"),
         "ip": ip,
         "ssn": ssn,
         "phone": f"concat({country}, {_refill(national, permute_string(_digits(national), key + 'phone'))})",
@@ -173,15 +215,23 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     Emails keep their domain, phone numbers their country code, IBANs their country; card
     numbers and IBANs stay valid, dates stay dates between 1900 and 2099.  Numbers that fail
     validation are left alone, as are all other characters.  Formats of one number (spaces or
-    dashes) share a pseudonym.  Null texts stay null and have nothing; empty texts stay
+    dashes) share a pseudonym.  IBANs and cards are sought in what the other kinds leave, at
+    each group of characters and in each length, so a value next to other numbers or words is
+    found; dates are read as dd/mm, else as mm/dd.  Null texts stay null and have nothing; empty texts stay
     empty; repeated rows are treated alike; an empty table gives an empty result.
     """
-    every = "|".join(f"(?:{p})" for p in PATTERNS.values())
+    every = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k not in RUNS)
     text = F.col("_text")
     safe = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_MARK), F.lit(_ESCAPE + "a"))
     # most texts hold neither two digits in a row nor an at sign, and skip the rest
-    pieces = F.when(text.rlike("[0-9][0-9 .()/-]?[0-9]|@"), F.split(F.regexp_replace(safe, every, f"{_MARK}$0{_MARK}"), _MARK, -1))
+    marked = F.when(text.rlike("[0-9][0-9 .()/-]?[0-9]|@"), F.regexp_replace(safe, every, f"{_MARK}$0{_MARK}"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"), F.col("text").cast("string").alias("_text"))
+    # matches that are not valid become plain text again
+    valid = f"array_join(transform(split(_marked, '{_MARK}', -1), (v, i) -> IF(i % 2 = 1 AND {_kinds('v')} IS NOT NULL, concat('{_MARK}', v, '{_MARK}'), v)), '')"
+    rows = rows.withColumn("_marked", marked).withColumn("_marked", F.when(F.instr("_marked", _MARK) > 0, F.expr(valid)).otherwise(F.col("_marked")))
+    for kind, (pattern, *_) in RUNS.items():
+        rows = rows.withColumn("_marked", F.when(F.col("_marked").rlike(pattern), F.expr(_marked_runs("_marked", kind))).otherwise(F.col("_marked")))
+    pieces = F.split("_marked", _MARK, -1)
     rows = rows.withColumn("_pieces", F.when(F.size(pieces) > 1, pieces))
     kinds = F.expr(f"transform(_pieces, (v, i) -> IF(i % 2 = 1, {_kinds('v')}, NULL))")
     rows = rows.withColumn("_kinds", F.when(F.col("_pieces").isNotNull(), kinds))
@@ -198,7 +248,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda *kinds: F.size(F.filter("found", lambda f: f["kind"].isin(*kinds))).cast("long")
     return out.select(
         F.col("_row.doc_id").alias("doc_id"), "text", F.size("found").cast("long").alias("n_values"),
-        *[count(k).alias(f"n_{k}") for k in ("email", "ip", "ssn", "phone", "iban", "card")], count("iso_date", "day_date").alias("n_date"),
+        *[count(k).alias(f"n_{k}") for k in ("email", "ip", "ssn", "phone", "iban", "card")], count("iso_date", "day_date", "month_date").alias("n_date"),
         F.array_join(F.transform("found", lambda f: f["pseudonym"]), ", ").alias("pseudonyms"),
     )
 

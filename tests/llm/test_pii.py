@@ -91,3 +91,20 @@ def test_query_and_edge_cases(spark, docs, empty, nulls, tmp_path):
     assert len(got) == docs.count()
     assert pseudonymise(empty).count() == 0
     assert sorted((r.text is None, len(r.found)) for r in pseudonymise(nulls).collect()) == [(False, 0)] * 2 + [(True, 0)] * 3
+
+
+def test_values_next_to_others(spark):
+    """A longer match that is not valid hides no valid value inside it."""
+    cases = [
+        ("4111 1111 1111 1111 123", "card", "4111 1111 1111 1111"), ("4111111111111111 12/27", "card", "4111111111111111"),
+        ("1234 4111 1111 1111 1111", "card", "4111 1111 1111 1111"), ("7 2024-01-15 123456", "iso_date", "2024-01-15"),
+        ("7 123-45-6789 4242", "ssn", "123-45-6789"), ("ES9121000418450200051332 EUR", "iban", "ES9121000418450200051332"),
+        ("AB12 DE89370400440532013000 AND", "iban", "DE89370400440532013000"), ("on 12/25/1990", "month_date", "12/25/1990"),
+    ]
+    got = one(spark, [text for text, *_ in cases])
+    for i, (text, kind, value) in enumerate(cases):
+        (f,) = got[i].found
+        assert (f.kind, f.start) == (kind, text.index(value)), (text, got[i])
+        assert shape(f.pseudonym) == shape(value) and f.pseudonym != value and got[i].text == text.replace(value, f.pseudonym)
+        if kind == "month_date":
+            datetime.date(int(f.pseudonym[6:]), int(f.pseudonym[:2]), int(f.pseudonym[3:5]))
