@@ -120,3 +120,10 @@ def test_streams(spark, tmp_path):
 
     last = max(os.listdir(latest), key=lambda n: int(n[1:]))
     assert {(r.k, r.v) for r in spark.read.parquet(f"{latest}/{last}").collect()} == {(1, 2), (2, 1)}
+
+
+def test_distances_have_no_limit(spark):
+    e = spark.createDataFrame([("q", str(i), str(i + 1), "T") for i in range(7)], "query_id string, src string, dst string, type string")
+    roots = spark.createDataFrame([("q", "0")], "query_id string, id string")
+    assert {r.id: r.distance for r in subgraph.distances(e, roots).collect()} == {str(i): i for i in range(8)}
+    assert subgraph.distances(e, roots, 2).count() == 3
