@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ HASHES = BANDS * ROWS
 #: Minima that must agree before full sets are compared; at similarity 0.75, 96 of 128 agree on
 #: average, and fewer than 70 with a probability below 1e-7.
 LEAST_AGREEMENT = 70
-#: Buckets of up to so many members are compared by a join, larger ones in blocks of so many.
-SMALL, BLOCK = 6, 64
+#: Bytes of shingles and minima in a block of a bucket's members.
+BLOCK_BYTES = 2 << 20
 #: The largest bitmap of ids that workers get (16 MB).
 MAX_BITS = 1 << 27
 
@@ -83,9 +84,9 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """A row for each representative and band; ``key`` is the hash of the band's minima."""
+    """A row for each representative and ``band``; ``key`` is the hash of the band's minima."""
     keys = [F.xxhash64(F.lit(i), F.substring(F.col("signature"), 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)]
-    return reps.select("rep", F.col("n_shingles").cast("int").alias("n_shingles"), F.explode(F.array(*keys)).alias("key"))
+    return reps.select("rep", F.col("n_shingles").cast("int").alias("n_shingles"), F.posexplode(F.array(*keys)).alias("band", "key"))
 
 
 def _among(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
@@ -99,16 +100,16 @@ def _among(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     if bits > MAX_BITS:
         return frame.join(ids.withColumnRenamed("id", column), column, "left_semi").select(frame.columns)
     place = F.pmod(F.xxhash64(F.col("id")), F.lit(bits))
-    words = ids.select(F.floor(place / 32).alias("w"), F.pow(F.lit(2.0), place % 32).cast("long").alias("b"))
+    words = ids.select(place.alias("at")).selectExpr("at div 64 AS w", "shiftleft(1L, int(at % 64)) AS b")
     found = words.groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
-    bitmap = np.zeros(bits // 32, dtype=np.int64)
+    bitmap = np.zeros(bits // 64, dtype=np.int64)
     bitmap[found.column("w").to_numpy()] = found.column("b").to_numpy()
     names = frame.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(len(names)).to_numpy()
-            keep = pa.array((bitmap[at >> 5] >> (at & 31)) & 1 == 1)
+            keep = pa.array((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(len(names))], names)
 
     hashed = frame.where(F.col(column).isNotNull()).select(*names, F.pmod(F.xxhash64(F.col(column)), F.lit(bits)).alias("_at"))
@@ -178,47 +179,92 @@ def components(edges: DataFrame, scope: str = "query") -> DataFrame:
         star = save(small.select("e.u", "e.v").where("u != v").distinct(), "edges", scope)
 
 
-def _cross_pairs(shared: DataFrame, labels: DataFrame, signatures: DataFrame, scope: str) -> DataFrame:
-    """Pairs of one bucket in different components whose minima agree enough.
+def _forest(band: int, left: np.ndarray, right: np.ndarray, component: np.ndarray, signatures: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between members ``left`` and ``right`` that each bring two components together.
 
-    The first round compared each member of a bucket with its least member only.  What that
-    has not brought together is compared here, every pair of it: small buckets by a join, large
-    ones in blocks of ``BLOCK`` members, so that no task holds a bucket and only agreeing pairs
-    come out.  ``shared`` has the buckets of several members.
+    A pair is compared in the first band that it shares, if enough minima agree, and a link is
+    confirmed on the full sets.  So there are fewer links than members, whatever the pairs.
+    """
+    n = np.array([len(s) for s in sets])
+    shingles = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.cumsum(n) - n
+    marked = np.zeros(int(shingles.max(initial=-1)) + 1, dtype=bool)
+    label, links = component.copy(), []
+    for x in left:
+        y = right[right > x] if left is right else right
+        y = y[(label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= SIMILARITY * np.maximum(n[y], n[x]))]
+        if not len(y):
+            continue
+        same = signatures[y] == signatures[x]
+        y = y[(same.sum(axis=1) >= LEAST_AGREEMENT) & (same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band)]
+        if not len(y):
+            continue
+        marked[shingles[start[x] : start[x] + n[x]]] = True
+        first = np.cumsum(n[y]) - n[y]
+        both = np.add.reduceat(marked[shingles[np.repeat(start[y] - first, n[y]) + np.arange(n[y].sum())]], first, dtype=np.int64)
+        marked[shingles[start[x] : start[x] + n[x]]] = False
+        for z in y[100 * both >= SIMILARITY * (n[x] + n[y] - both)]:
+            if label[z] != label[x]:
+                links.append((int(x), int(z)))
+                label[label == label[z]] = label[x]
+    return links
+
+
+def _cross_links(docs: DataFrame, shared: DataFrame, labels: DataFrame, reps: DataFrame, scope: str) -> DataFrame:
+    """Links ``a, b`` between different components of one bucket that the first round left open.
+
+    The first round compared each member of a bucket with its least member only.  The members
+    of a bucket that still holds several components are dealt into blocks of about
+    ``BLOCK_BYTES`` of shingles, and a task compares two blocks at a time by :func:`_forest`:
+    it holds no more than these, whatever the bucket's size, and gives out fewer links than it
+    has members, never the pairs.  ``shared`` has the buckets of several members.
     """
     rows = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     rows = save(rows, "labelled", scope)
-    open_ = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = save(open_.where("lo != hi").select("key", "n"), "open", scope)
-    small = save(rows.join(open_.where(F.col("n") <= SMALL).select("key"), "key"), "small", scope)
-    a, b = (small.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "n_shingles")]) for x in "ab")
-    near = (F.lit(100) * F.least("n_shingles_a", "n_shingles_b")) >= F.lit(SIMILARITY) * F.greatest("n_shingles_a", "n_shingles_b")
-    pairs = a.join(b, "key").where((F.col("component_a") < F.col("component_b")) & near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    found = _agree(save(pairs, "cross", scope), signatures)
-    large = save(open_.where(F.col("n") > SMALL).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large", scope)
-    if not large.limit(1).count():
-        return found.distinct()
-    members = rows.join(large, "key").join(signatures, "rep")
-    members = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "rep", "component", "n_shingles", "signature")
-
-    def compare(group: pa.Table) -> pa.Table:
-        left = group.column("left").to_numpy()
-        same = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        rep, comp, n = (group.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
-        sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
-        one, two = np.flatnonzero(left), np.flatnonzero(~left)
-        if same:
-            two = one
-        out_a, out_b = [], []
-        for k in one:
-            near = two[(comp[two] != comp[k]) & (100 * np.minimum(n[two], n[k]) >= SIMILARITY * np.maximum(n[two], n[k]))]
-            hit = near[(sig[near] == sig[k]).sum(axis=1) >= LEAST_AGREEMENT]
-            out_a += np.minimum(rep[hit], rep[k]).tolist()
-            out_b += np.maximum(rep[hit], rep[k]).tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    return found.unionAll(members.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")).distinct()
+    size = F.sum(F.lit(8) * F.col("n_shingles") + 4 * HASHES)
+    open_ = rows.groupBy("band", "key").agg(size.alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    open_ = open_.where("lo != hi").select("band", "key", F.ceil(F.col("size") / BLOCK_BYTES).cast("int").alias("blocks"))
+    members = save(rows.join(open_, ["band", "key"]), "open", scope)
+    ids = save(members.select(F.col("rep").alias("id")).distinct(), "open-ids", scope)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            sets = [s.tobytes() for s in shingle_sets(batch.column(1))]
+            digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["set_digest", "shingles"])
+
+    sets = _among(_texts(docs), "doc_id", ids).mapInArrow(read, "set_digest binary, shingles binary")
+    sets = sets.groupBy("set_digest").agg(F.first("shingles").alias("shingles"))
+    sets = save(sets.join(reps, "set_digest").select("rep", F.col("n_shingles").cast("int").alias("n_shingles"), "signature", "shingles"), "open-sets", scope)
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = ["band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left")]
+    dealt = dealt.join(sets, ["rep", "n_shingles"]).select(*group, "rep", "component", "signature", "shingles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.table({})
+        for batch in itertools.chain(batches, [None]):
+            table = held if batch is None else pa.Table.from_batches([batch]) if not held.num_rows else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not table.num_rows:
+                continue
+            group = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("band", "key", "i", "j")])
+            edges = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
+            # the last group may go on in the next batch
+            held = table.slice(0, 0) if batch is None else table.slice(edges[-2])
+            found: list[list[int]] = [[], []]
+            for at, end in itertools.pairwise(edges if batch is None else edges[:-1]):
+                part, (band, _, i, j) = table.slice(at, end - at), group[:, at]
+                rep, component, left = (part.column(c).to_numpy() for c in ("rep", "component", "left"))
+                signatures = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+                sets = [np.frombuffer(s, np.uint64) for s in part.column("shingles").to_pylist()]
+                one, two = np.flatnonzero(left), np.flatnonzero(~left)
+                for x, y in _forest(int(band), one, one if i == j else two, component, signatures, sets):
+                    found[0].append(rep[x])
+                    found[1].append(rep[y])
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], ["a", "b"])
+
+    return dealt.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, scope: str = "query") -> DataFrame:
@@ -229,7 +275,8 @@ def near_duplicates(docs: DataFrame, scope: str = "query") -> DataFrame:
     ``component_id`` is the smallest doc_id that links reach.  Equal sets are one
     representative; representatives that share a band's minima are compared with the least
     one of their bucket, by signature and then by full sets; buckets that still hold several
-    components are compared in full.  Null and empty texts have an empty set and no links.  Rows
+    components are compared in full, in blocks.  A text of any length is one set; its worker
+    holds 16 bytes a word or so while it is hashed.  Null and empty texts have an empty set and no links.  Rows
     that repeat a doc_id are one document with the links of all its texts.  Rows without
     doc_id are linked with nothing and have no component.  An empty table gives none.
     """
@@ -239,9 +286,10 @@ def near_duplicates(docs: DataFrame, scope: str = "query") -> DataFrame:
     reps = save(reps, "representatives", scope)
     members = full.select("doc_id", "set_digest").join(reps.select("set_digest", "rep"), "set_digest").select("doc_id", "rep")
     rows = _bands(reps)
-    leaders = save(rows.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "leaders", scope)
+    leaders = rows.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "key", "a")
+    leaders = save(leaders, "leaders", scope)
     # most buckets have one member; from here on only the others are carried
-    shared = save(rows.join(leaders, "key"), "shared", scope)
+    shared = save(rows.join(leaders, ["band", "key"]), "shared", scope)
     signatures = save(_among(reps.select("rep", "signature"), "rep", shared.select(F.col("rep").alias("id")).distinct()), "signatures", scope)
     pairs = shared.where("a != rep").select("a", F.col("rep").alias("b")).distinct()
     agreed = save(_agree(save(pairs, "pairs", scope), signatures), "agreed", scope)
@@ -250,11 +298,9 @@ def near_duplicates(docs: DataFrame, scope: str = "query") -> DataFrame:
     several = save(members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("doc_id", "a"), "several", scope)
     links = links.unionAll(members.join(several, "doc_id").select("a", F.col("rep").alias("b")))
     labels = components(links, scope)
-    cross = save(_cross_pairs(shared.drop("a"), labels, signatures, scope), "cross-agreed", scope)
-    if cross.limit(1).count():
-        more = save(_links(docs, cross, scope), "links", scope)
-        if more.limit(1).count():
-            labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), scope)
+    more = save(_cross_links(docs, shared.drop("a"), labels, reps, scope), "cross-links", scope)
+    if more.limit(1).count():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), scope)
     named = reps.select("set_digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = save(named.select("set_digest", F.coalesce("component", "rep").alias("component")), "components", scope)
     # texts without words would all meet in one task

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from pathweave.llm import near_dedup
 from pathweave.llm.near_dedup import components, near_duplicates, one_of_each, op6_minhash_near_dedup
@@ -74,13 +75,35 @@ def test_query_matches_brute_force(spark, docs, texts, family, tmp_path):
 
 
 def test_blocks_of_a_large_bucket(spark, family, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL", 2)
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 12_000)
     rows = list(enumerate(family))
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == brute(rows)[0]
 
 
+def test_more_ids_than_the_bitmap_holds(spark, family, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MAX_BITS", 64)
+    rows = list(enumerate(family))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows)[0]
+
+
+def test_open_buckets_give_out_fewer_links_than_members(spark, words, tmp_path):
+    """Unlike texts that share a passage agree in pairs, but no pair leaves a task."""
+    rng = random.Random(4)
+    passage = [rng.choice(words) for _ in range(60)]
+    rows = [(i, " ".join(passage + [rng.choice(words) for _ in range(rng.randint(10, 30))])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketched = near_dedup.sketches(docs)
+    reps = sketched.groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
+    labels = spark.createDataFrame([], "node long, component long")
+    links = near_dedup._cross_links(docs, near_dedup._bands(reps), labels, reps, "test").collect()
+    root = roots(range(300), [(r.a, r.b) for r in links])
+    assert root == brute(rows)[0]
+    # a member of 32 buckets brings at most one link to each block of theirs
+    assert len(links) < 32 * 300 < sum(1 for a in rows for b in rows if a < b)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(500, k) for k in range(501, 700)] + [(k, k + 1) for k in range(800, 900)]
