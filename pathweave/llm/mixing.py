@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import json
 from array import array
 from fractions import Fraction
 
@@ -12,39 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Documents in a block, and slots in a period of the schedule (before rounding of weights).
-BLOCK = 16
-PERIOD = 1000
-#: Without given weights a source's weight is its number of documents to this power.
-ALPHA = 0.8
+#: Documents in a block, and the most blocks that a schedule has: of more documents than
+#: BLOCK * MAX_BLOCKS a block holds more, so that the schedule stays this long.
+BLOCK, MAX_BLOCKS = 16, 1 << 22
+#: Without given weights a source's weight is its number of documents to this power, to 2^-20.
+ALPHA, UNIT = 0.8, 1 << 20
 #: A source's documents are dealt into buckets of about so many rows to rank them, at most
 #: MAX_BUCKETS for each source.
 BUCKET_ROWS, MAX_BUCKETS = 512, 1 << 16
 
 
-def source_weights(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, alpha: float = ALPHA) -> DataFrame:
-    """``_source, n, w``: each source's documents and slots in a period, at least one.
-
-    ``_source`` is ``s:`` and the name, or ``n`` for null.  Sources missing in ``weights``
-    or with a weight of 0 are not in the plan.
-    """
-    counts = docs.groupBy(_source().alias("_source")).agg(F.count("*").alias("n"))
-    if weights is None:
-        counts = counts.withColumn("share", F.pow(F.col("n").cast("double"), F.lit(alpha)))
-    else:
-        rows = [("n" if k is None else f"s:{k}", float(v)) for k, v in weights.items() if v > 0]
-        given = _table(docs.sparkSession, [dict(zip(("_source", "share"), r, strict=True)) for r in rows], "_source: string, share: double")
-        counts = counts.join(F.broadcast(given), "_source")
-    total = Window.partitionBy()  # a row for each source
-    slots = F.greatest(F.lit(1), F.round(F.col("share") / F.sum("share").over(total) * period).cast("long"))
-    return counts.select("_source", "n", slots.alias("w"))
-
-
-def _table(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
-    """A few rows as an inline table."""
-    return spark.sql(f"SELECT inline(from_json(:rows, 'array<struct<{fields}>>'))", args={"rows": json.dumps(rows)})
-
-
 def _source():
     return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s:"), F.col("source").cast("string")))
 
@@ -77,55 +53,40 @@ def earliest_deadlines(weights: list[Fraction], ends: list[int]) -> array:
     return order
 
 
-def _exact(docs: DataFrame, weights: dict[str, float] | None, block: int) -> tuple[DataFrame, int, int]:
-    """``_source, block, place`` of the blocks in the mixture, the first slot after it, and the
-    number of documents."""
-    found = sorted((r["_source"], r["n"]) for r in docs.groupBy(_source().alias("_source")).agg(F.count("*").alias("n")).collect())
-    given = None if weights is None else {"n" if k is None else f"s:{k}": float(v) for k, v in weights.items() if v > 0}
-    part = [(s, n, Fraction(n**ALPHA if given is None else given[s])) for s, n in found if given is None or s in given]
-    source, number, place = _blocks([w for *_, w in part], [-(-n // block) for _, n, _ in part])
-    names = pa.array([s for s, *_ in part], pa.string()).take(pa.array(source))
-    table = pa.table({"_source": names, "block": pa.array(number, pa.int64()), "place": pa.array(place, pa.int64())})
-    return docs.sparkSession.createDataFrame(table, "_source string, block long, place long"), len(place), sum(n for _, n in found)
+def _schedule(docs: DataFrame, weights: dict[str, float] | None, block: int) -> tuple[DataFrame, int, int]:
+    """``_source, block, place`` of the blocks in the mixture, the number of documents, and of
+    those in a block.
 
-
-def _blocks(weights: list[Fraction], ends: list[int]) -> tuple[np.ndarray, ...]:
-    """Sources, their blocks' numbers and slots of :func:`earliest_deadlines`, by source and block."""
-    order = np.frombuffer(earliest_deadlines(weights, ends), dtype=np.int32)
+    The driver has a row for each source and 4 bytes for each block, ``MAX_BLOCKS`` at most and one
+    more for each source.
+    """
+    found = sorted((r["_source"], r["n"]) for r in docs.groupBy(_source().alias("_source")).agg(F.count("*").alias("n")).collect())
+    total = sum(n for _, n in found)
+    block = max(block, -(-total // MAX_BLOCKS))
+    given = None if weights is None else {"n" if k is None else f"s:{k}": Fraction(v) for k, v in weights.items() if v > 0}
+    part = [(s, n, Fraction(round(n**ALPHA * UNIT)) if given is None else given[s]) for s, n in found if given is None or s in given]
+    order = np.frombuffer(earliest_deadlines([w for *_, w in part], [-(-n // block) for _, n, _ in part]), dtype=np.int32)
     place = np.argsort(order, kind="stable")
-    count = np.bincount(order, minlength=len(weights))
-    return order[place], np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count), place
-
-
-def _periodic(docs: DataFrame, weights: dict[str, float] | None, block: int, period: int) -> tuple[DataFrame, int, int]:
-    """``_source, w, slots, k, slot``: the slot of each source's ``k``-th block in a period, the
-    first slot whose block is missing, and the number of documents."""
-    found = sorted(tuple(r) for r in source_weights(docs, weights, period).select("_source", "w", "n").collect())
-    each, slots = np.array([w for _, w, _ in found], dtype=np.int64), sum(w for _, w, _ in found)
-    source, k, slot = _blocks([Fraction(w) for _, w, _ in found], each.tolist())
-    names = pa.array([s for s, *_ in found], pa.string()).take(pa.array(source))
-    table = pa.table({"_source": names, "w": pa.array(each[source], pa.int64()), "slots": pa.array([slots] * len(k), pa.int64()), "k": pa.array(k, pa.int64()), "slot": pa.array(slot, pa.int64())})
-    # the slot in which a source's first missing block would stand
-    starts, ends = np.cumsum(each) - each, [-(-n // block) for *_, n in found]
-    horizon = min((b // w * slots + int(slot[a + b % w]) for a, b, (_, w, _) in zip(starts.tolist(), ends, found, strict=True)), default=0)
-    return docs.sparkSession.createDataFrame(table, "_source string, w long, slots long, k long, slot long"), horizon, sum(n for *_, n in found)
+    count = np.bincount(order, minlength=len(part))
+    number = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)
+    names = pa.array([s for s, *_ in part], pa.string()).take(pa.array(order[place]))
+    table = pa.table({"_source": names, "block": pa.array(number, pa.int64()), "place": pa.array(place, pa.int64())})
+    return docs.sparkSession.createDataFrame(table, "_source string, block long, place long"), total, block
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None, seed: str = "mix", carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, seed: str = "mix", carry: list[str] | None = None) -> DataFrame:
     """Give every row of ``docs`` (``doc_id``, ``source``) its place in the mixture.
 
     Returns ``_row`` (a struct of the row's columns, or of those in ``carry``, whatever their
     names), ``block`` (the block's number in its source), ``place`` (the block's slot in the
     whole schedule), ``rank`` (the row's number in its source, in an order drawn by ``seed``)
-    and ``in_mix``.  Up to the first slot whose source has no block left, the mixture holds its
-    target weights: these blocks are ``in_mix``.  The last block of a source may be short.
-    Null sources are a source of their own; null doc_ids come first in their source; repeated
-    rows each have a rank.  Rows of sources without weight have no place and are not in the
-    mix.  An empty table gives an empty result.
-
-    Without ``period`` every block is scheduled from its source's exact weight, and later
-    blocks have no place.  With it weights are rounded to whole slots of a period, at least
-    one, whose schedule is repeated; later blocks keep their place but would shift the weights.
+    and ``in_mix``.  Every block is scheduled from its source's exact weight.  Up to the first
+    slot whose source has no block left, the mixture holds its target weights: these blocks are
+    ``in_mix``, later ones have no place.  The last block of a source may be short.  Null
+    sources are a source of their own; null doc_ids come first in their source; repeated rows
+    and rows of equal doc_id each have a rank; texts are not read, however long.  Rows of
+    sources without weight have no place and are not in the mix.  An empty table gives an empty
+    result.
 
     Ranks are counted within buckets of a source and the buckets' sizes summed up, so a source
     of any size is spread over many tasks; a bucket's row has the places of its blocks.
@@ -135,7 +96,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
         F.col("doc_id").cast("long").alias("_id"), _source().alias("_source"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_hash"),
     )
-    table, horizon, total = _exact(docs, weights, block) if period is None else _periodic(docs, weights, block, period)
+    table, total, block = _schedule(docs, weights, block)
     buckets = max(1, min(MAX_BUCKETS, -(-total // BUCKET_ROWS)))
     number = F.conv(F.substring("_hash", 1, 6), 16, 10).cast("long")
     rows = rows.withColumn("_bucket", F.floor(number * buckets / (1 << 24)).cast("int"))
@@ -143,19 +104,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("_source", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), "_n")
     first, last = F.floor(F.col("_base") / block), F.floor((F.col("_base") + F.col("_n") - 1) / block)
-    spread = bases.select("_source", "_bucket", "_base", F.explode(F.sequence(first, last)).alias("block"))
-    if period is None:
-        spread = spread.join(table, ["_source", "block"], "left")
-    else:
-        spread = spread.join(table.select("_source", "w", "slots").distinct(), "_source", "left").withColumn("k", F.col("block") % F.col("w"))
-        spread = spread.join(table.select("_source", "k", "slot"), ["_source", "k"], "left")
-        spread = spread.withColumn("place", F.floor(F.col("block") / F.col("w")).cast("long") * F.col("slots") + F.col("slot"))
+    spread = bases.select("_source", "_bucket", "_base", F.explode(F.sequence(first, last)).alias("block")).join(table, ["_source", "block"], "left")
     bases = spread.groupBy("_source", "_bucket", "_base").agg(F.sort_array(F.collect_list(F.struct("block", "place"))).alias("_blocks"))
     ranked = rows.withColumn("_in", F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_hash", "_id")) - 1)
     ranked = ranked.join(bases, ["_source", "_bucket"]).withColumn("rank", F.col("_base") + F.col("_in"))
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("long"))
     place = F.col("_blocks")[(F.col("block") - F.col("_blocks")[0]["block"]).cast("int")]["place"]
-    return ranked.select("_row", "rank", "block", place.alias("place"), F.coalesce(place < horizon, F.lit(False)).alias("in_mix"))
+    return ranked.select("_row", "rank", "block", place.alias("place"), place.isNotNull().alias("in_mix"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -165,8 +120,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
 
 def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    # its SQL rounds the weights to slots of a period
-    out = mix(docs, period=PERIOD, carry=["doc_id", "source"])
+    out = mix(docs, carry=["doc_id", "source"])
     return out.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), "rank", "block", "place", "in_mix")
 
 
@@ -174,31 +128,25 @@ OP10_SQL = """
 WITH RECURSIVE src AS (
   SELECT CASE WHEN source IS NULL THEN 'n' ELSE 's:' || source END AS s, count(*) AS n FROM documents GROUP BY 1
 ), weights AS (
-  SELECT s, n, greatest(1, CAST(round(pow(n, 0.8) / sum(pow(n, 0.8)) OVER () * 1000) AS BIGINT)) AS w FROM src
+  SELECT s, CAST(round(pow(n, 0.8) * 1048576) AS HUGEINT) AS w, (n + 15) // 16 AS blocks, row_number() OVER (ORDER BY s) AS p FROM src
 ), plan AS (
-  SELECT list(w ORDER BY s) AS ws, CAST(sum(w) AS BIGINT) AS total FROM weights
+  SELECT list(w ORDER BY s) AS ws, list(blocks ORDER BY s) AS ends, CAST(sum(w) AS HUGEINT) AS total FROM weights
 ), steps(t, ks, p) AS (
-  SELECT CAST(0 AS BIGINT), list_transform(ws, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM plan
+  SELECT CAST(0 AS BIGINT), list_transform(ws, lambda x: CAST(0 AS HUGEINT)), CAST(NULL AS BIGINT) FROM plan
   UNION ALL
   SELECT t + 1, list_transform(ks, lambda x, i: x + CASE WHEN i = pick THEN 1 ELSE 0 END), pick
   FROM (
-    SELECT t, ks, total, list_min(list_transform(range(1, len(ws) + 1), lambda i:
-             CASE WHEN ks[i] * total // ws[i] <= t THEN ((ks[i] + 1) * total + ws[i] - 1) // ws[i] * 100000 + i END)) % 100000 AS pick
-    FROM steps, plan WHERE t < total
-  )
+    SELECT t, ks, ends, CAST(list_min(list_transform(range(1, len(ws) + 1), lambda i:
+             CASE WHEN ks[i] * total // ws[i] <= t THEN ((ks[i] + 1) * total + ws[i] - 1) // ws[i] * 100000 + i END)) % 100000 AS BIGINT) AS pick
+    FROM steps, plan
+  ) WHERE ks[pick] < ends[pick]
 ), slots AS (
-  SELECT row_number() OVER (PARTITION BY p ORDER BY t) - 1 AS k, t - 1 AS slot, p FROM steps WHERE p IS NOT NULL
-), named AS (
-  SELECT s, n, w, row_number() OVER (ORDER BY s) AS p FROM weights
-), horizon AS (
-  SELECT min((n + 15) // 16 // w * total + slot) AS h FROM named JOIN slots USING (p), plan WHERE k = (n + 15) // 16 % w
+  SELECT row_number() OVER (PARTITION BY p ORDER BY t) - 1 AS block, t - 1 AS place, p FROM steps WHERE p IS NOT NULL
 ), ranked AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's:' || source END AS s,
          row_number() OVER (PARTITION BY source ORDER BY md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST) - 1 AS rank
   FROM documents
-), placed AS (
-  SELECT doc_id, source, rank, rank // 16 AS block, rank // 16 // w * total + slot AS place
-  FROM ranked JOIN named USING (s) JOIN slots ON slots.p = named.p AND k = rank // 16 % w, plan
 )
-SELECT doc_id, source, rank, block, place, place < h AS in_mix FROM placed, horizon
+SELECT doc_id, source, rank, rank // 16 AS block, place, place IS NOT NULL AS in_mix
+FROM ranked JOIN weights USING (s) LEFT JOIN slots ON slots.p = weights.p AND slots.block = rank // 16
 """

@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+from pathweave.llm import mixing
 from pathweave.llm.mixing import earliest_deadlines, mix, mixed, op10_mixing_sources
 from tests.llm.conftest import as_dir
 
@@ -12,10 +13,10 @@ def frame(spark, sizes):
 
 def test_every_prefix_is_within_a_block(spark):
     weights = {"a": 5, "b": 3, "c": 1.5, "d": 0.5}
-    out = mix(frame(spark, {"a": 900, "b": 400, "c": 300, "d": 90}), weights, block=4, period=20).collect()
+    out = mix(frame(spark, {"a": 900, "b": 400, "c": 300, "d": 90}), weights, block=4).collect()
     place = {(r["_row"].source, r.block): r.place for r in out}
-    assert len(set(place.values())) == len(place) == len({(r["_row"].source, r.block) for r in out})
-    inside = sorted((p, s) for (s, b), p in place.items() if any(r.in_mix for r in out if (r["_row"].source, r.block) == (s, b)))
+    assert all(r.in_mix == (r.place is not None) for r in out)
+    inside = sorted((p, s) for (s, b), p in place.items() if p is not None)
     assert [p for p, _ in inside] == list(range(len(inside))) and len(inside) > 100
     done = Counter()
     for t, (_, s) in enumerate(inside, 1):
@@ -23,14 +24,14 @@ def test_every_prefix_is_within_a_block(spark):
         for source, w in weights.items():
             assert abs(done[source] - t * w / 10) < 1
     # the mixture ends where a source's next block is missing
-    blocks = Counter(s for s, _ in place)
-    assert any(done[s] == blocks[s] for s in weights)
+    blocks = {"a": 225, "b": 100, "c": 75, "d": 23}
+    assert any(done[s] == blocks[s] for s in weights) and len(out) == 1690
 
 
 def test_earliest_deadline_first(spark):
     """The schedule equals a plain simulation."""
     w = {"a": 7, "b": 2, "c": 1}
-    out = mix(frame(spark, {"a": 70, "b": 20, "c": 10}), w, block=1, period=10).collect()
+    out = mix(frame(spark, {"a": 70, "b": 20, "c": 10}), w, block=1).collect()
     done, order = Counter(), []
     for t in range(100):
         s = min((-(-(done[s] + 1) * 10 // w[s]), s) for s in w if done[s] * 10 // w[s] <= t)[1]
@@ -39,6 +40,25 @@ def test_earliest_deadline_first(spark):
     assert [r["_row"].source for r in sorted(out, key=lambda r: r.place)] == order
 
 
+def test_shares_that_no_period_holds(spark):
+    """Shares like 1/3 and 0.0003 deviate by less than a block at every slot."""
+    weights = {"third": 1 / 3, "rare": 0.0003, "rest": 1 - 1 / 3 - 0.0003}
+    out = mix(frame(spark, {"third": 3000, "rare": 3, "rest": 6000}), weights, block=1)
+    order = [r.source for r in out.where("in_mix").orderBy("place").select("_row.source").collect()]
+    done, total = Counter(), sum(map(Fraction, weights.values()))
+    for t, s in enumerate(order, 1):
+        done[s] += 1
+        for source, w in weights.items():
+            assert abs(done[source] - t * Fraction(w) / total) < 1
+    assert len(order) > 8000 and done["rare"] in (2, 3)
+
+
+def test_longer_blocks_bound_the_schedule(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 10)
+    out = mix(frame(spark, {"a": 300, "b": 100}), block=16).collect()
+    assert max(r.block for r in out if r["_row"].source == "a") == 7 and len(out) == 400
+
+
 def test_query_keeps_every_row(spark, docs, tmp_path):
     got = op10_mixing_sources(spark, as_dir(docs, tmp_path)).collect()
     assert len(got) == docs.count()
@@ -61,7 +81,7 @@ def test_edge_cases(spark, docs, empty, nulls):
 def test_source_of_one_row_keeps_its_share(spark):
     """A rare source is not raised to a slot of a period, which would end the mixture early."""
     sizes = {"hot": 60_000, None: 1} | {f"s{i:02}": 6000 for i in range(20)}
-    shares = {s: n**0.8 for s, n in sizes.items()}
+    shares = {s: round(n**0.8 * 2**20) for s, n in sizes.items()}
     ends = min(-(-n // 16) / (shares[s] / sum(shares.values())) for s, n in sizes.items())
     names = ["hot"] * 60_000 + [f"s{i % 20:02}" for i in range(120_000)] + [None]
     rows = spark.createDataFrame(list(enumerate(names)), "doc_id long, source string")
@@ -88,7 +108,7 @@ def test_any_number_of_sources(spark, tmp_path):
     rows = frame(spark, sizes)
     got = op10_mixing_sources(spark, as_dir(rows, tmp_path)).collect()
     assert Counter(r.source for r in got) == sizes
-    first = {r.source: r.place for r in got if r.block == 0}
-    assert len(set(first.values())) == len(sizes) and all(r.place is not None for r in got)
+    first = [r.place for r in got if r.block == 0 and r.in_mix]
+    assert len(set(first)) == len({(r.source, r.place) for r in got if r.block == 0 and r.in_mix}) > 0
     kept = Counter(r.source for r in mixed(rows).collect())
     assert sum(kept.values()) > 0 and all(kept[s] <= n for s, n in sizes.items())
