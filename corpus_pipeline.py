@@ -6,6 +6,7 @@ returns a DataFrame that is written as Parquet and read again for the next one.
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,39 +18,47 @@ from pathweave.llm.near_dedup import one_of_each
 from pathweave.llm.packing import pack
 from pathweave.llm.quality import keep_clean
 
-#: Tables of a stage's own; a stage's output is written when the next one begins, so it removes
-#: its predecessor's.
-_SCOPE = "pipeline-stage"
+_own = threading.local()
+
+
+def _scope(spark: SparkSession) -> str:
+    """A folder of its own for a stage's tables.
+
+    A stage's output is written when the next one begins, so that one removes them; pipelines
+    that run at the same time, in one driver or in several, do not meet.
+    """
+    if last := getattr(_own, "scope", None):
+        scratch.clear(spark, last)
+    _own.scope = f"pipeline-{uuid.uuid4().hex}"
+    return _own.scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the line-first rules, their failing lines removed."""
-    scratch.clear(spark, _SCOPE)
+    _scope(spark)
     return keep_clean(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the largest doc_id."""
-    scratch.clear(spark, _SCOPE)
+    _scope(spark)
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest doc_id."""
-    scratch.clear(spark, _SCOPE)
-    return one_of_each(docs, _SCOPE)
+    return one_of_each(docs, _scope(spark))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents up to where every source still meets its target weight."""
-    scratch.clear(spark, _SCOPE)
+    _scope(spark)
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences."""
-    scratch.clear(spark, _SCOPE)
-    return pack(docs, _SCOPE)
+    return pack(docs, _scope(spark))
 
 
 STAGES = [
@@ -66,7 +75,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the result is a written table as well."""
-    docs, scope = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"pipeline-{uuid.uuid4().hex}"
+    docs, scope = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"pipeline-run-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name, scope)
     return docs
