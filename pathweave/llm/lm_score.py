@@ -2,8 +2,10 @@
 
 Tokens are words and one end for each document.  The frequent ones are the model's vocabulary,
 in classes of equal size; every other token is the outcome ``other``, followed by a unigram over
-all other words of the corpus.  The network is trained by truncated backpropagation through time,
-and its state runs on from window to window until a document ends.
+all other words of the corpus.  The network is trained by truncated backpropagation through time on
+every token of every training document: in each of a few rounds the tasks start from the same
+weights, train on their own documents of that round, and the weights are averaged by tokens.  Its
+state runs on from window to window until a document ends.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +28,15 @@ VOCABULARY, CLASS, UNITS = 4096, 64, 32
 #: Words with at least 1 / FREQUENT of all tokens are known to every worker: at most FREQUENT
 #: words of 16 bytes.  The counts of others are joined.
 FREQUENT = 1 << 21
-#: The network's weights are fitted to about so many tokens of the training documents, drawn by
-#: doc_id's hash (never more than twice that).  All counts are of the whole corpus.
-TRAIN_TOKENS, EPOCHS = 1_200_000, 2
-#: Streams and window of training, and of scoring.
-TRAIN_STREAMS, TRAIN_WINDOW = 64, 20
+#: Rounds of training; each training document teaches in one of them.
+ROUNDS = 4
+#: Streams and window of training, and of scoring; with fewer streams windows are longer.
+TRAIN_STREAMS, TRAIN_WINDOW = 384, 20
 STREAMS, WINDOW = 256, 48
-#: A worker scores the documents of about so many tokens together.
-GROUP_TOKENS = 1_500_000
+#: A worker trains on, and scores, the documents of about so many tokens together.
+TRAIN_GROUP, GROUP_TOKENS = 600_000, 1_500_000
+#: Pieces in which the weights are averaged.
+PIECES = 32
 
 #: The end of a document among word hashes.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -102,6 +106,8 @@ class Network:
     def __init__(self, counts: np.ndarray, other: float, units: int = UNITS, seed: int = 1):
         rng = np.random.RandomState(seed)
         self.size, self.units = len(counts), units
+        self.moments: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.turn = 0
         self.classes = -(-self.size // CLASS)
         draw = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
         padded = np.zeros(self.classes * CLASS)
@@ -142,8 +148,9 @@ class Network:
                 out[rows] += z[np.arange(len(rows)), target[rows] - k * CLASS] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
         return out
 
-    def gradients(self, ids: np.ndarray, target: np.ndarray, reset: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
-        """Loss (nats a token), gradients and last state of a window (steps x streams)."""
+    def gradients(self, ids: np.ndarray, target: np.ndarray, reset: np.ndarray, h: np.ndarray, live: np.ndarray | None = None) -> tuple[float, dict, np.ndarray]:
+        """Loss (nats a token), gradients and last state of a window (steps x streams); of ``e`` for
+        its ``rows`` only.  Places that are not ``live`` lie behind a stream's end."""
         p, k, (steps, streams) = self.p, self.units, ids.shape
         before, tape, states = [], [], []
         for t in range(steps):
@@ -153,8 +160,10 @@ class Network:
             tape.append((gates, new, rec))
             states.append(h)
         flat, want = np.concatenate(states), target.reshape(-1)
+        there = slice(None) if live is None or live.all() else np.flatnonzero(live.reshape(-1))
+        flat, want = flat[there], want[there]
         n = len(want)
-        g = {name: np.zeros_like(v) for name, v in p.items()}
+        g = {"u": np.zeros_like(p["u"]), "w": np.zeros_like(p["w"]), "b": np.zeros_like(p["b"])}
         group = want // CLASS
         group[want == self.size] = self.classes
         logits = flat @ p["c"] + p["d"]
@@ -182,7 +191,9 @@ class Network:
             q /= n
             g["w"][i], g["b"][i] = flat[rows].T @ q, q.sum(axis=0)
             back[rows] += q @ p["w"][i].T
-        back = back.reshape(steps, streams, k)
+        whole = np.zeros((steps * streams, k), dtype=back.dtype)
+        whole[there] = back
+        back = whole.reshape(steps, streams, k)
         carry = np.zeros((streams, k), dtype=np.float32)
         xs = np.zeros((steps, streams, 3 * k), dtype=np.float32)
         for t in range(steps - 1, -1, -1):
@@ -196,105 +207,121 @@ class Network:
             drec = np.hstack([du, dr, dn * keep])
             g["u"] += prev.T @ drec
             carry = np.where(reset[t][:, None], np.float32(0), dh * update + drec @ p["u"].T)
-        np.add.at(g["e"], ids.reshape(-1), xs.reshape(-1, 3 * k))
+        rows = ids.reshape(-1)
+        by = np.argsort(rows, kind="stable")
+        first = np.flatnonzero(np.diff(rows[by], prepend=-1))
+        g["e"] = np.add.reduceat(xs.reshape(-1, 3 * k)[by], first, axis=0)
+        g["rows"] = rows[by[first]]
         return loss / n, g, h
 
-    def fit(self, documents: list[np.ndarray], end: int, epochs: int = EPOCHS, rate: float = 0.01) -> list[float]:
-        """Truncated backpropagation over streams of documents; returns the windows' losses."""
-        ids, target, reset, lengths = streams_of(documents, end, TRAIN_STREAMS)
-        moment = {name: [np.zeros_like(v), np.zeros_like(v)] for name, v in self.p.items()}
-        losses, turn = [], 0
-        steps = int(np.median(lengths)) if len(lengths) else 0
-        total = max(1, epochs * (-(-steps // TRAIN_WINDOW)))
-        for _ in range(epochs):
-            h = np.zeros((ids.shape[1], self.units), dtype=np.float32)
-            for t in range(0, steps, TRAIN_WINDOW):
-                n = int((lengths > t).sum())
-                part = slice(t, min(t + TRAIN_WINDOW, steps, int(lengths[n - 1])))
-                loss, g, last = self.gradients(ids[part, :n], target[part, :n].copy(), reset[part, :n], h[:n])
-                h[:n] = last
-                losses.append(float(loss))
-                turn += 1
-                norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-                scale = min(1.0, 1.0 / (norm + 1e-9))
-                now = rate * min(1.0, turn / 20) * (1 - 0.9 * turn / total)
-                for name, v in g.items():
-                    m, s = moment[name]
-                    v *= scale
-                    m += 0.1 * (v - m)
-                    s += 0.01 * (v * v - s)
-                    self.p[name] -= (now * (m / (1 - 0.9**turn)) / (np.sqrt(s / (1 - 0.99**turn)) + 1e-6)).astype(np.float32)
-        return losses
-
-
-def streams_of(documents: list[np.ndarray], end: int, streams: int) -> tuple[np.ndarray, ...]:
-    """Documents (ids, the end last) dealt to streams of similar length, longest stream first.
-
-    Returns inputs, targets and resets (steps x streams) and the streams' lengths.  The input
-    before a document's first token is the end, and the state is reset there.
+    def fit(self, documents: list[np.ndarray], end: int, rate: float = 0.01) -> tuple[int, list[float]]:
+        """Truncated backpropagation over every token of the documents, in streams.
+
+        Returns the number of tokens and the windows' losses.  Later calls go on with the same
+        moments.
+        """
+        if not documents:
+            return 0, []
+        flow = Streams(documents, end, TRAIN_STREAMS)
+        losses, tokens = [], 0
+        h = np.zeros((len(flow.length), self.units), dtype=np.float32)
+        for place, live in flow.windows(TRAIN_WINDOW, TRAIN_STREAMS * TRAIN_WINDOW // 2):
+            n = place.shape[1]
+            loss, g, h[:n] = self.gradients(flow.ids[place], flow.target[place], flow.reset[place], h[:n], live)
+            losses.append(float(loss))
+            tokens += int(live.sum())
+            self.descend(g, rate)
+        return tokens, losses
+
+    def descend(self, g: dict[str, np.ndarray], rate: float) -> None:
+        """A step of gradient descent with moments, the gradient's length at most 1."""
+        if not self.moments:
+            self.moments.update({name: (np.zeros_like(v), np.zeros_like(v)) for name, v in self.p.items()})
+        self.turn += 1
+        rows = g.pop("rows")
+        norm = np.sqrt(sum(float(np.vdot(v, v)) for v in g.values()))
+        scale, rate = np.float32(min(1.0, 1.0 / (norm + 1e-9))), np.float32(rate * min(1.0, self.turn / 10))
+        for name, v in g.items():
+            # input words that the window doesn't have stay as they are
+            at = rows if name == "e" else slice(None)
+            v = v.astype(np.float32) * scale
+            m, s = (x[at] for x in self.moments[name])
+            m += np.float32(0.1) * (v - m)
+            s += np.float32(0.01) * (v * v - s)
+            if name == "e":
+                self.moments[name][0][at], self.moments[name][1][at] = m, s
+            step = m * np.float32(rate / (1 - 0.9**self.turn))
+            step /= np.sqrt(s * np.float32(1 / (1 - 0.99**self.turn))) + np.float32(1e-6)
+            self.p[name][at] -= step
+
+    def __getstate__(self) -> dict:
+        """What workers get: no moments."""
+        return self.__dict__ | {"moments": {}, "turn": 0}
+
+
+class Streams:
+    """Documents (ids, the end last) dealt to streams of similar length, the longest stream first.
+
+    ``ids``, ``target``, ``reset`` and ``document`` have a place for each token, stream after
+    stream; a stream's tokens start at ``start`` and are ``length`` many.  The input before a
+    document's first token is the end, and the state is reset there.  Memory is in proportion to
+    the tokens, whatever a document's length.
     """
-    streams = max(1, min(streams, len(documents)))
-    heap = [(0, i) for i in range(streams)]
-    dealt: list[list[int]] = [[] for _ in range(streams)]
-    for i in sorted(range(len(documents)), key=lambda i: -len(documents[i])):
-        size, s = heapq.heappop(heap)
-        dealt[s].append(i)
-        heapq.heappush(heap, (size + len(documents[i]), s))
-    sizes = np.array([sum(len(documents[i]) for i in d) for d in dealt], dtype=np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    steps = int(sizes.max()) if len(documents) else 0
-    target = np.full((steps, streams), end, dtype=np.int64)
-    ids, reset = target.copy(), np.zeros((steps, streams), dtype=bool)
-    for column, s in enumerate(order):
-        at = 0
-        for i in dealt[s]:
-            n = len(documents[i])
-            target[at : at + n, column] = documents[i]
-            ids[at + 1 : at + n, column] = documents[i][:-1]
-            reset[at, column] = True
-            at += n
-    return ids, target, reset, sizes[order]
+
+    def __init__(self, documents: list[np.ndarray], end: int, streams: int):
+        sizes = np.array([len(d) for d in documents], dtype=np.int64)
+        heap = [(0, i) for i in range(max(1, min(streams, len(documents))))]
+        dealt: list[list[int]] = [[] for _ in heap]
+        for i in np.argsort(-sizes, kind="stable").tolist():
+            size, s = heapq.heappop(heap)
+            dealt[s].append(i)
+            heapq.heappush(heap, (size + int(sizes[i]), s))
+        length = np.array([sizes[d].sum() for d in dealt], dtype=np.int64)
+        by = np.argsort(-length, kind="stable")
+        order = [i for s in by for i in dealt[s]]
+        self.length = length[by]
+        self.start = np.cumsum(self.length) - self.length
+        self.target = np.concatenate([documents[i] for i in order]).astype(np.int64)
+        self.document = np.repeat(order, sizes[order])
+        first = np.cumsum(sizes[order]) - sizes[order]
+        self.ids = np.roll(self.target, 1)
+        self.ids[first] = end
+        self.reset = np.zeros(len(self.ids), dtype=bool)
+        self.reset[first] = True
+
+    def windows(self, least: int, tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (steps x streams that go on) of one window after another, and which lie before
+        their stream's end; at least ``least`` steps, more while few streams are left."""
+        at, longest = 0, int(self.length.max(initial=0))
+        while at < longest:
+            n = int(np.searchsorted(-self.length, -at, side="left"))
+            step = np.arange(at, min(longest, at + max(least, tokens // n)))[:, None]
+            live = step < self.length[:n]
+            yield np.where(live, self.start[:n] + step, self.start[:n]), live
+            at = int(step[-1, 0]) + 1
 
 
 def score_documents(net: Network, documents: list[np.ndarray], end: int) -> np.ndarray:
     """Natural log-likelihood of each document, the state carried through all its windows."""
-    if not documents:
-        return np.zeros(0)
-    ids, target, reset, lengths = streams_of(documents, end, STREAMS)
-    # the number of the document at each place
-    place = np.cumsum(reset.T.reshape(-1)).reshape(reset.shape[1], -1).T - 1
-    order = _dealt_order(documents, STREAMS)
     total = np.zeros(len(documents))
-    table, h = net.p["e"], np.zeros((ids.shape[1], net.units), dtype=np.float32)
-    for start in range(0, len(ids), WINDOW):
-        states, places, targets = [], [], []
-        for t in range(start, min(start + WINDOW, len(ids))):
-            n = int(np.searchsorted(-lengths, -t, side="left"))
-            if reset[t, :n].any():
-                h[:n][reset[t, :n]] = 0
-            h[:n] = net.step(table[ids[t, :n]], h[:n])[0]
+    if not documents:
+        return total
+    flow = Streams(documents, end, STREAMS)
+    table, h = net.p["e"], np.zeros((len(flow.length), net.units), dtype=np.float32)
+    for place, live in flow.windows(WINDOW, STREAMS * WINDOW // 4):
+        states = []
+        count = live.sum(axis=1)
+        for t, n in enumerate(count):
+            now = place[t, :n]
+            if flow.reset[now].any():
+                h[:n][flow.reset[now]] = 0
+            h[:n] = net.step(table[flow.ids[now]], h[:n])[0]
             states.append(h[:n].copy())
-            places.append(place[t, :n])
-            targets.append(target[t, :n])
-        logs = net.log_probabilities(np.concatenate(states), np.concatenate(targets))
-        total += np.bincount(order[np.concatenate(places)], logs, len(documents))
+        now = place[live]
+        total += np.bincount(flow.document[now], net.log_probabilities(np.concatenate(states), flow.target[now]), len(documents))
     return total
 
 
-def _dealt_order(documents: list[np.ndarray], streams: int) -> np.ndarray:
-    """Documents in the order in which :func:`streams_of` starts them, stream by stream."""
-    streams = max(1, min(streams, len(documents)))
-    heap = [(0, i) for i in range(streams)]
-    dealt: list[list[int]] = [[] for _ in range(streams)]
-    sizes = np.zeros(streams, dtype=np.int64)
-    for i in sorted(range(len(documents)), key=lambda i: -len(documents[i])):
-        size, s = heapq.heappop(heap)
-        dealt[s].append(i)
-        sizes[s] += len(documents[i])
-        heapq.heappush(heap, (size + len(documents[i]), s))
-    return np.array([i for s in np.argsort(-sizes, kind="stable") for i in dealt[s]], dtype=np.int64)
-
-
 class Lookup:
     """Counts and ids of the frequent tokens, by hash."""
 
@@ -318,62 +345,14 @@ def _per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def score_likelihood(docs: DataFrame, scope: str = "query") -> DataFrame:
-    """Score the whole text of every row of ``docs`` (``doc_id``, ``text``).
-
-    Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``; both scores
-    are log10.  Rows that are held out teach nothing.  Null and empty texts are the end alone;
-    null doc_ids are not held out; repeated rows count as often as they stand there; an empty
-    table gives an empty result; without any training document every token is unknown.
+def encode(docs: DataFrame, lookup: Lookup, log_z: float, log_other: float) -> DataFrame:
+    """Each row's whole text as ids of two bytes, with the sums that its known words need.
 
-    Words below the frequent ones are joined with their counts; no such word has more than
-    1 / FREQUENT of the tokens, so no key of that join is hot.
+    ``base`` and ``extra`` are the parts of both scores that frequent words make; ``rare`` has
+    the hashes of the others.
     """
-    spark = docs.sparkSession
-    counts = save(token_counts(docs), "counts", scope)
-    facts = counts.agg(F.sum("total").alias("total"), F.sum("train").alias("n"), F.sum((F.col("train") > 0).cast("long")).alias("v")).first()
-    total, n, v = (int(x or 0) for x in facts)
-    least = max(1, -(-total // FREQUENT))
-    # at most FREQUENT rows, as their counts sum up to the corpus
-    found = counts.where(F.col("total") >= least).select("hash", "train").toArrow()
-    hashes = found.column("hash").to_numpy().view(np.uint64)
-    train = found.column("train").to_numpy().astype(np.int64)
-    if END not in hashes:
-        hashes, train = np.append(hashes, END), np.append(train, 0)
-    order = np.lexsort((hashes, -train))[:VOCABULARY]
-    if not (hashes[order] == END).any():
-        order[-1] = int(np.flatnonzero(hashes == END)[0])
-    vocabulary = hashes[order]
-    lookup = Lookup(hashes, train, vocabulary)
-    inside = int(train[order].sum())
-    other_n, other_v = n - inside, v - int((train[order] > 0).sum())
-    net = Network(train[order].astype(np.float64), float(other_n))
-    end = int(np.flatnonzero(vocabulary == END)[0])
-    share = min(1.0, TRAIN_TOKENS / max(1, n))
-    drawn = _source(docs).where(~F.col("held_out")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    lessons, size = [], 0
-    # sorted, so that the weights don't depend on the order in which tasks end
-    for text in sorted(r.text or "" for r in drawn.select("text").toLocalIterator()) if n else []:
-        data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
-        tokens, _ = with_ends(Words(data, np.array([0, len(data)])))
-        if size + len(tokens) <= 2 * TRAIN_TOKENS:
-            lessons.append(lookup.find(tokens)[0])
-            size += len(tokens)
-    if lessons:
-        net.fit(lessons, end)
-    log_z, log_other = float(np.log10(n + v + 1)), float(np.log10(other_n + other_v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-
-        def scored() -> pa.RecordBatch:
-            documents = [ids[a:b] for _, _, ids, first, *_ in group for a, b in zip(first[:-1], first[1:], strict=True)]
-            logs = score_documents(net, documents, end) / np.log(10)
-            doc, held, rare = ([x for g in group for x in g[i]] for i in (0, 1, 7))
-            sizes, known, base, extra = (np.concatenate([g[i] for g in group]) for i in (4, 5, 6, 8))
-            arrays = [pa.array(doc, pa.int64()), pa.array(held, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(logs + extra)]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(rare, _RARE)], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
-
         for batch in chunks(batches):
             tokens, first = with_ends(Words(*utf8(batch.column(2))))
             ids, seen, frequent = lookup.find(tokens)
@@ -394,22 +373,126 @@ def score_likelihood(docs: DataFrame, scope: str = "query") -> DataFrame:
                 for o, w, k in zip(pairs[change, 0].tolist(), pairs[change, 1].view(np.int64).tolist(), times.tolist(), strict=True):
                     rare[o].append({"hash": w, "n": k})
             known = _per_text(seen > 0, first).astype(np.int64)
-            group.append((batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids, first, sizes, known, base, rare, extra))
-            if sum(len(g[2]) for g in group) >= GROUP_TOKENS:
-                yield scored()
-                group = []
-        if group:
-            yield scored()
+            packed = ids.astype("<u2")
+            arrays = [pa.array(sizes), pa.array(known), pa.array(base), pa.array(extra), pa.array(rare, _RARE), pa.array([packed[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "held_out", "n_tokens", "n_known", "base", "extra", "rare", "ids"])
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, extra double, rare array<struct<hash:long,n:long>>, ids binary"
+    return _source(docs).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+
+
+def _groups(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.RecordBatch]:
+    """The rows in groups of about so many tokens, by the column ``ids``; a longer text is a group
+    of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("ids")).to_numpy() // 2)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + tokens, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
 
+def _documents(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
+
+
+def train(encoded: DataFrame, net: Network, end: int) -> int:
+    """Train the network on every row of ``encoded`` that is not held out; returns the tokens.
+
+    The weights that tasks give out are averaged, weighted by their tokens, in ``PIECES`` pieces
+    by as many tasks; the driver gets the pieces of one network only.
+    """
+    names, done = sorted(net.p), 0
+    shard = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(ROUNDS))
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for batch in batches:
+            for piece, n, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                entry = total.setdefault(piece, [0, 0.0])
+                entry[0] += n
+                entry[1] = entry[1] + n * np.frombuffer(weights, np.float32).astype(np.float64)
+        if total:
+            rows = [(k, n, (w / n).astype(np.float32).tobytes()) for k, (n, w) in total.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["piece", "n", "weights"])
+
+    for turn in range(ROUNDS):
+        rate = 0.01 * (1 - 0.8 * turn / ROUNDS)
+
+        def run(batches: Iterator[pa.RecordBatch], rate: float = rate) -> Iterator[pa.RecordBatch]:
+            tokens = 0
+            for group in _groups(batches, TRAIN_GROUP):
+                tokens += net.fit(_documents(group), end, rate)[0]
+            if tokens:
+                flat = np.array_split(np.concatenate([net.p[k].reshape(-1) for k in names]), PIECES)
+                yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([tokens] * PIECES, pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in flat], pa.binary())], ["piece", "n", "weights"])
+
+        lessons = encoded.where(~F.col("held_out") & (shard == turn)).select("ids")
+        parts = lessons.mapInArrow(run, "piece int, n long, weights binary").repartition(PIECES, "piece")
+        found = sorted(parts.mapInArrow(average, "piece int, n long, weights binary").collect())
+        if found:
+            flat, at = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in found]), 0
+            for k in names:
+                net.p[k] = flat[at : at + net.p[k].size].reshape(net.p[k].shape).copy()
+                at += net.p[k].size
+            done += found[0]["n"]
+    return done
+
+
+def score_likelihood(docs: DataFrame, scope: str = "query") -> DataFrame:
+    """Score the whole text of every row of ``docs`` (``doc_id``, ``text``).
+
+    Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``; both scores
+    are log10.  Rows that are held out teach nothing.  Null and empty texts are the end alone;
+    null doc_ids are not held out; repeated rows count as often as they stand there; an empty
+    table gives an empty result; without any training document every token is unknown.  A text of
+    any length is one stream; memory is in proportion to its tokens.
+
+    Words below the frequent ones are joined with their counts; no such word has more than
+    1 / FREQUENT of the tokens, so no key of that join is hot.
+    """
+    spark = docs.sparkSession
+    counts = save(token_counts(docs), "counts", scope)
+    facts = counts.agg(F.sum("total").alias("total"), F.sum("train").alias("n"), F.sum((F.col("train") > 0).cast("long")).alias("v")).first()
+    total, n, v = (int(x or 0) for x in facts)
+    least = max(1, -(-total // FREQUENT))
+    # at most FREQUENT rows, as their counts sum up to the corpus
+    found = counts.where(F.col("total") >= least).select("hash", "train").toArrow()
+    hashes = found.column("hash").to_numpy().view(np.uint64)
+    train_counts = found.column("train").to_numpy().astype(np.int64)
+    if END not in hashes:
+        hashes, train_counts = np.append(hashes, END), np.append(train_counts, 0)
+    # words that training documents don't have are no part of the vocabulary
+    order = np.lexsort((hashes, -train_counts))[:VOCABULARY]
+    order = order[train_counts[order] > 0]
+    if not (hashes[order] == END).any():
+        order = np.append(order[: VOCABULARY - 1], np.flatnonzero(hashes == END)[0])
+    vocabulary = hashes[order]
+    inside = int(train_counts[order].sum())
+    other_n, other_v = n - inside, v - int((train_counts[order] > 0).sum())
+    net = Network(train_counts[order].astype(np.float64), float(other_n))
+    end = int(np.flatnonzero(vocabulary == END)[0])
     ship_package(spark)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<hash:long,n:long>>"
-    rows = save(_source(docs).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored", scope)
-    pairs = rows.select("row", F.explode("rare").alias("r")).select("row", "r.hash", "r.n")
+    log_z, log_other = float(np.log10(n + v + 1)), float(np.log10(other_n + other_v + 1))
+    encoded = save(encode(docs, Lookup(hashes, train_counts, vocabulary), log_z, log_other), "encoded", scope)
+    train(encoded, net, end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, GROUP_TOKENS):
+            logs = score_documents(net, _documents(group), end) / np.log(10)
+            kept = [group.column(c) for c in ("row", "doc_id", "held_out", "n_tokens", "n_known", "base")]
+            score = pa.array(logs + group.column("extra").to_numpy())
+            yield pa.RecordBatch.from_arrays([*kept, score], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+    rows = encoded.drop("rare").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    pairs = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.hash", "r.n")
     uncommon = counts.where((F.col("total") < least) & (F.col("train") > 0)).select("hash", "train")
     sums = pairs.join(uncommon, "hash").groupBy("row").agg(
         F.sum(F.col("n") * F.log10(F.col("train") + 1.0)).alias("more"), F.sum("n").alias("more_known")
     )
-    out = rows.drop("rare").join(sums, "row", "left")
+    out = rows.join(sums, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),

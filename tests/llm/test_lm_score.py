@@ -51,6 +51,9 @@ def test_gradients():
     reset = rng.rand(5, 3) < 0.3
     h = rng.standard_normal((3, 4))
     _, g, _ = net.gradients(ids, target, reset, h)
+    rows = np.zeros_like(net.p["e"])
+    rows[g.pop("rows")] = g["e"]
+    g["e"] = rows
     for name in net.p:
         flat, grad = net.p[name].reshape(-1), g[name].reshape(-1)
         for i in rng.randint(0, len(flat), 6):
@@ -90,6 +93,67 @@ def test_better_than_base_on_held_out(spark, monkeypatch):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_query_score_matches_a_plain_pass(spark, docs, texts, monkeypatch):
+    """Every score again from the trained weights and the corpus's counts; every training token taught."""
+    seen = {}
+
+    def train(encoded, net, end, real=lm_score.train):
+        seen.update(net=net, end=end, tokens=real(encoded, net, end))
+        return seen["tokens"]
+
+    monkeypatch.setattr(lm_score, "train", train)
+    monkeypatch.setattr(lm_score, "VOCABULARY", 60)
+    got = score_likelihood(docs.select("doc_id", "text")).collect()
+    count = Counter(w for i, t in enumerate(texts) if not held(i) for w in tokens(t))
+    net, end = seen["net"], seen["end"]
+    assert seen["tokens"] == sum(count.values()) == got[0].train_tokens
+    assert net.size == 60
+    inside = sum(sorted(count.values(), reverse=True)[:60])
+    other_n, other_v = sum(count.values()) - inside, len(count) - 60
+    short = [r for r in got if r.n_tokens <= 2 and texts[r.doc_id] in (None, "", " \n\t ")]
+    for r in short:
+        want = score_documents(net, [np.array([end])], end)[0] / math.log(10)
+        assert math.isclose(r.score, want, rel_tol=1e-5)
+    odd = next(r for r in got if texts[r.doc_id] == "k" * 5000)
+    want = score_documents(net, [np.array([60, end])], end)[0] / math.log(10) + math.log10((count["k" * 5000] + 1) / (other_n + other_v + 1))
+    assert math.isclose(odd.score, want, rel_tol=1e-4)
+
+
+def test_every_token_teaches():
+    rng = np.random.RandomState(3)
+    documents = [np.append(rng.randint(0, 20, n), 5) for n in [3000, 1, 700, *rng.randint(0, 90, 400)]]
+    net = Network(np.ones(20), 1.0, units=4)
+    n, losses = net.fit(documents, 5)
+    assert n == sum(map(len, documents)) and all(np.isfinite(losses))
+    flow = lm_score.Streams(documents, 5, 16)
+    places = np.concatenate([p[live] for p, live in flow.windows(7, 50)])
+    assert sorted(places) == list(range(n))
+    for i, d in enumerate(documents):
+        assert flow.target[flow.document == i].tolist() == d.tolist()
+
+
+def test_a_very_long_text_beside_short_ones():
+    """Two million tokens take memory in proportion, not a matrix of streams."""
+    rng = np.random.RandomState(3)
+    net = Network(np.ones(64), 1.0, units=4)
+    flow = lm_score.Streams([rng.randint(0, 60, 2_000_000), *[np.array([1, 2])] * 255], 5, 256)
+    assert sum(x.nbytes for x in (flow.ids, flow.target, flow.reset, flow.document)) < 60e6
+    assert max(p.size for p, _ in flow.windows(48, 3000)) <= 256 * 48
+    long = rng.randint(0, 60, 100_000)
+    assert math.isclose(score_documents(net, [long, np.array([5])], 5)[0], score_documents(net, [long], 5)[0], rel_tol=1e-6)
+
+
+def test_many_null_ids(spark):
+    rows = spark.createDataFrame([(None, f"a b w{i % 7}") for i in range(10_000)], "doc_id long, text string")
+    got = score_likelihood(rows)
+    assert got.count() == 10_000 and got.first().train_tokens == 40_000
+
+
+def test_equal_scores_on_two_runs(spark, docs):
+    one, two = ({r.doc_id: r.score for r in score_likelihood(docs).collect()} for _ in range(2))
+    assert all(math.isclose(one[i], two[i], rel_tol=1e-6) for i in one)
+
+
 def test_edge_cases(spark, empty, nulls):
     assert score_likelihood(empty).count() == 0
     rows = score_likelihood(nulls).collect()
