@@ -73,8 +73,9 @@ def judge_urls(urls: DataFrame, listed: DataFrame, url: str = "url") -> DataFram
 
     ``listed`` has ``verdict``, ``host`` and ``path``: an entry fits a url on its host or a
     subdomain whose path starts with the entry's.  Each url asks the filter for its host
-    suffixes with its path's prefixes (of the lengths that are listed), and what may hit goes
-    to an exact join.  Returns ``_row`` (a struct of the row's columns, whatever their names),
+    suffixes (of the numbers of labels that are listed) with its path's prefixes (of the lengths
+    that are listed), and what may hit goes to an exact join; so a host or path of any length
+    asks for no more than the lists' own lengths.  Returns ``_row`` (a struct of the row's columns, whatever their names),
     ``host``, ``path``, ``rule`` (null if none fits) and ``verdict`` (``allow`` if none fits).
     Of entries of equal length the one with the longer path, then ``block``, wins; listed
     nulls and repeated entries are ignored.  Urls that are null or have no ``://`` have an
@@ -84,18 +85,20 @@ def judge_urls(urls: DataFrame, listed: DataFrame, url: str = "url") -> DataFram
     entries = listed.where("verdict IS NOT NULL AND host IS NOT NULL AND path IS NOT NULL")
     entries = entries.groupBy(F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
     entries = entries.withColumn("key", F.concat("r_host", "r_path"))
-    facts = entries.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.length("r_path"))).alias("lengths")).first()
+    lengths = F.sort_array(F.collect_set(F.length("r_path"))).alias("lengths")
+    facts = entries.agg(F.count("*").alias("n"), lengths, F.sort_array(F.collect_set(F.size(F.split("r_host", r"\.")))).alias("labels")).first()
     host, path = split_url(F.col(f"`{url}`"))
     rows = urls.select(F.struct("*").alias("_row"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("_n", F.monotonically_increasing_id()) if not facts["n"] else rows
     if not facts["n"]:
         return rows.select("_row", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
     n_blocks = min(MAX_BLOCKS, 1 << max(4, math.ceil(math.log2(facts["n"] * 12 / (32 * WORDS) + 1))))
     bloom = bloom_filter(entries, n_blocks)
-    # distinct places are judged once: a host and path may stand in very many rows
-    places = rows.select("host", "path").distinct().where("host != ''")
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # distinct places are judged once: a host and path may stand in very many rows; few bytes of
+    # them are much work, so they are dealt out anew
+    spread = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = rows.select("host", "path").where("host != ''").distinct().repartition(spread, "host", "path")
+    labels = F.size(F.split("host", r"\."))
+    suffixes = F.array_compact(F.array(*[F.when(labels >= k, F.substring_index("host", ".", -k)) for k in facts["labels"]]))
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in facts["lengths"]]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     probes = places.select("host", "path", F.explode(suffixes).alias("p_host"), prefixes.alias("p_paths"))
     probes = probes.select("host", "path", "p_host", F.explode("p_paths").alias("p_path")).withColumn("key", F.concat("p_host", "p_path"))
@@ -104,7 +107,9 @@ def judge_urls(urls: DataFrame, listed: DataFrame, url: str = "url") -> DataFram
     found = hits.join(exact, (hits["key"] == exact["key"]) & (F.col("p_host") == F.col("r_host")) & (F.col("p_path") == F.col("r_path")))
     best = F.max(F.struct(F.length("p_path") + F.length("p_host"), F.length("p_path"), F.col("r_verdict"), F.concat("p_host", "p_path").alias("rule"))).alias("best")
     found = found.groupBy("host", "path").agg(best).select("host", "path", "best.rule", F.col("best.r_verdict").alias("found"))
-    out = rows.join(found, ["host", "path"], "left")
+    # urls without a host fit nothing and would all meet in one task
+    out = rows.where("host != ''").join(found, ["host", "path"], "left")
+    out = out.unionByName(rows.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), "found": F.lit(None).cast("string")}))
     return out.select("_row", "host", "path", "rule", F.coalesce("found", F.lit("allow")).alias("verdict"))
 
 

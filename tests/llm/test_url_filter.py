@@ -1,6 +1,7 @@
 import re
 
 from pathweave.llm.url_filter import RULES, judge_urls, op8_url_filter
+from pathweave.llm import url_filter
 from tests.llm.conftest import as_dir
 
 URLS = [None, "", "no scheme", "http://", "http://com/en/", "HTTPS://A.Example.COM/en/7x", "http://example.com/en/6", "http://xexample.com/en/7", "http://net/de/8", "http://www.example.net/de/81?x=/", "http://example.net?/de/8", "x://a.org/es/#y", "x://a.org/es?", "x://a.org/ES/", "http://a://b.com/en/", "http://a.com:80/en/", "http://example.com/en/", "a\nb://q.com/en/\nz?u", "http://..com/en/"] * 2
@@ -44,3 +45,12 @@ def test_edge_cases(spark):
     listed = spark.createDataFrame([(None, "com", "/"), ("block", None, "/"), ("block", "com", "/en/"), ("block", "com", "/en/")], "verdict string, host string, path string")
     assert judge_urls(pages, listed).count() == 1 and judge_urls(pages, listed).first().verdict == "block"
     assert judge_urls(pages.limit(0), listed).count() == 0
+
+
+def test_very_long_hosts_and_urls(spark):
+    host = "a." * 50_000 + "example.com"
+    rows = [(1, f"http://{host}/en/1"), (2, f"http://{host}/en/7"), (3, "http://example.com/en/" + "x" * 1_000_000), *[(4 + i, None) for i in range(50)]]
+    listed = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
+    got = {r["_row"].page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), listed).collect()}
+    assert len(got) == 53 and got[1] == got[3] == ("com/en/", "block") and got[2] == ("example.com/en/7", "allow")
+    assert all(got[4 + i] == (None, "allow") for i in range(50))
