@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 from pathweave.llm.words import Words, chunks, utf8
 from pathweave.session import ship_package
 
-#: Documents of each label that the machine may learn from: a bound, drawn by doc_id's hash.
+#: Documents of each label that the machine may learn from: a bound, those with the least hash of
+#: doc_id.
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 3000
+#: Bounds on what the fit takes from these: witnesses of a text, cues, the commonest and any other
+#: clean spans, and the clean spans that are disguised or that a round finds worst.
+WITNESSES, CUES, COMMON, ORDINARY, HARD = 8, 600, 2000, 6000, 1500
 LANDMARKS = 96
 DECAY, REACH = 0.7, 8
 #: Longer words are scored in overlapping pieces of so many bytes.
@@ -282,7 +286,7 @@ def train(toxic: list[str], clean: list[str], seed: int = 3) -> Model:
     chosen = []
     for bag in bags:
         # the strongest spans of a text
-        picked = [s for v, s in bag[:8] if v >= 3.0 and v >= 0.4 * bag[0][0]]
+        picked = [s for v, s in bag[:WITNESSES] if v >= 3.0 and v >= 0.4 * bag[0][0]]
         chosen.append(picked)
         for s in picked:
             share[s] = share.get(s, 0) + 1
@@ -291,8 +295,8 @@ def train(toxic: list[str], clean: list[str], seed: int = 3) -> Model:
     ordinary = sorted(s for s in plain if s not in share)
     rng.shuffle(ordinary)
     # the commonest clean spans, and any others
-    common = sorted(ordinary, key=lambda s: (-plain[s], s))[:2000]
-    negatives = list(dict.fromkeys([*common, *ordinary[:6000]]))
+    common = sorted(ordinary, key=lambda s: (-plain[s], s))[:COMMON]
+    negatives = list(dict.fromkeys([*common, *ordinary[:ORDINARY]]))
     for turn in range(3):
         votes: dict[bytes, int] = {}
         for picked in chosen:
@@ -300,7 +304,7 @@ def train(toxic: list[str], clean: list[str], seed: int = 3) -> Model:
                 votes[s] = votes.get(s, 0) + 1
         cues = sorted(votes, key=lambda s: (-votes[s], s))
         # one text's witness alone may be chance, unless there is little to learn from
-        cues = ([s for s in cues if votes[s] > 1] if len(cues) > 60 else cues)[:600]
+        cues = ([s for s in cues if votes[s] > 1] if len(cues) > 60 else cues)[:CUES]
         landmarks = _spread(cues, LANDMARKS * 2 // 3)
         landmarks += ordinary[: LANDMARKS - len(landmarks)]
         known = np.unique(np.concatenate([t[t > 0] for _, t in _triples(_padded(landmarks)[0])]))
@@ -311,7 +315,7 @@ def train(toxic: list[str], clean: list[str], seed: int = 3) -> Model:
         spans = [*cues, *[d for s in cues for d in disguises(s, rng)]]
         weight = [1.0 + np.log1p(votes[s]) for s in cues] + [0.4] * 4 * len(cues)
         positives = len(spans)
-        spans += negatives + [d for s in negatives[:1500] for d in disguises(s, rng)]
+        spans += negatives + [d for s in negatives[:HARD] for d in disguises(s, rng)]
         y = np.where(np.arange(len(spans)) < positives, 1.0, -1.0)
         weight = np.append(weight, np.full(len(spans) - positives, 2 * sum(weight) / (len(spans) - positives)))
         w = _svm(features(spans, known) @ base.T @ root, y, weight, cost=10.0)
@@ -320,13 +324,13 @@ def train(toxic: list[str], clean: list[str], seed: int = 3) -> Model:
         bias = float(w[-1])
         noise = decide(ordinary, table, bias)
         # the clean spans that the machine takes for the worst are negatives of the next round
-        negatives = list(dict.fromkeys([*negatives, *[ordinary[i] for i in np.argsort(-noise, kind="stable")[:1500]]]))
+        negatives = list(dict.fromkeys([*negatives, *[ordinary[i] for i in np.argsort(-noise, kind="stable")[:HARD]]]))
         if turn < 2:
             for k, bag in enumerate(bags):
                 strong = [s for e, s in bag if e >= 3.0]
                 values = decide(strong, table, bias)
                 keep = np.flatnonzero((values > 0) & (values >= values.max(initial=0) - 0.7))
-                chosen[k] = [strong[i] for i in keep[np.argsort(-values[keep], kind="stable")][:8]]
+                chosen[k] = [strong[i] for i in keep[np.argsort(-values[keep], kind="stable")][:WITNESSES]]
     scorer = Scorer(Model(table, bias, empty.logistic))
     texts = [*sorted(set(toxic)), *sorted(set(clean))]
     y = np.arange(len(texts)) < len(set(toxic))
@@ -355,8 +359,8 @@ def _held_out():
 def train_on(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from labelled documents that aren't held out.
 
-    At most ``TRAIN_TOXIC`` and ``TRAIN_CLEAN`` of them, drawn by a hash of doc_id, come to the
-    driver.  Rows without label, doc_id or text teach nothing; of several labels the highest
+    The ``TRAIN_TOXIC`` and ``TRAIN_CLEAN`` of them with the least hash of doc_id come to the driver,
+    whatever order tasks end in; texts are taken whole, however long.  Rows without label, doc_id or text teach nothing; of several labels the highest
     counts.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~_held_out())
@@ -365,12 +369,14 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     out = []
     for toxic, most in ((True, TRAIN_TOXIC), (False, TRAIN_CLEAN)):
-        part = min(1.0, most / max(1, sizes.get(toxic, 0)))
+        # a share somewhat above the bound before the order, by a hash of 53 bits
+        part = min(1.0, (1.3 * most + 100) / max(1, sizes.get(toxic, 0)))
         drawn = known.where((F.col("toxic") != 0) if toxic else (F.col("toxic") == 0))
-        drawn = drawn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).select("doc_id").limit(most)
+        drawn = drawn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) <= F.lit(part * (1 << 53)))
+        drawn = drawn.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)), "doc_id").limit(most).select("doc_id")
         out.append(drawn.withColumn("toxic", F.lit(toxic)))
     # the sample's ids are TRAIN_TOXIC + TRAIN_CLEAN longs at most
-    rows = texts.join(F.broadcast(out[0].unionAll(out[1])), "doc_id").select("toxic", "text").toArrow().to_pylist()
+    rows = texts.join(F.broadcast(out[0].unionAll(out[1])), "doc_id").select("toxic", "text").distinct().toArrow().to_pylist()
     return train([r["text"] for r in rows if r["toxic"]], [r["text"] for r in rows if not r["toxic"]])
 
 
@@ -420,8 +426,9 @@ class Scorer:
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score, predicted`` of each row's whole text.
 
-    Null and empty texts score lowest.  Repeated rows are scored alike; null doc_ids stay
-    null; an empty table gives an empty result.
+    Null and empty texts score lowest; a text of any length is read whole, a very long word in
+    overlapping pieces.  Repeated rows and ties are scored alike; null doc_ids stay null; an empty
+    table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

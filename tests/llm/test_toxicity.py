@@ -1,6 +1,7 @@
 import random
 import zlib
 
+from pathweave.llm import toxicity
 from pathweave.llm.toxicity import DECAY, REACH, _padded, disguises, features, op3_toxicity, score_toxicity, train, train_on
 
 import numpy as np
@@ -71,3 +72,15 @@ def test_edge_cases(spark, docs, empty, nulls):
     odd = spark.createDataFrame([(None, 1), (1, None), (12, 1), (12, 0), (14, 0)], "doc_id long, toxic int")
     assert train_on(docs, odd) is not None
     assert len(score_toxicity(docs, train_on(docs, odd)).collect()) == docs.count()
+
+
+def test_the_sample_does_not_depend_on_task_order(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_TOXIC", 5)
+    monkeypatch.setattr(toxicity, "TRAIN_CLEAN", 7)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda bad, good: seen.append((sorted(bad), sorted(good))))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    for parts in (1, 7):
+        toxicity.train_on(docs.repartition(parts), labels.repartition(parts))
+    assert seen[0] == seen[1] and (len(seen[0][0]), len(seen[0][1])) == (5, 7)
