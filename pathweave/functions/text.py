@@ -38,7 +38,14 @@ STOPWORDS = [
     "받으려면", "해야", "하면", "할", "있다", "없다", "위해", "대해", "통해", "위한", "대한", "것", "때", "경우", "관련", "대하여",
     "가입해야", "가입하면", "가입", "확인", "문의", "보험", "보험상품", "상품", "보장", "특약", "보험료", "보험금", "계약", "약관", "조건", "내용", "사항",
 ]
-LAW_WORDS = ["법", "시행령", "시행규칙", "감독규정"]
+# Words in the file names of laws.
+LAW_WORDS = ["법률", "시행령", "시행규칙", "세칙", "관리법", "의료법", "보호에 관한 법률", "보험업법"]
+# The intents that are complex by themselves, those that need regulations, and the
+# words that do.
+COMPLEX_INTENTS = ["dividend_check", "exclusion_exception", "regulation_inquiry", "loan_inquiry", "policy_comparison", "calculation_inquiry"]
+REGULATED_INTENTS, REGULATED_WORDS = ["dividend_check", "exclusion_exception", "regulation_inquiry"], ["규제", "법", "의무", "위반"]
+# Least scores for a keyword alone, a keyword at all, and an embedding.
+KEYWORD_SURE, KEYWORD_LIKELY, EMBEDDING_SURE = 0.95, 0.8, 0.75
 
 
 def any_match(text: Column, patterns: list[str]) -> Column:
@@ -72,9 +79,41 @@ def keyword_intent(text: Column, keywords: dict[str, list[str]]) -> Column:
 
 
 def disambiguate(text: Column, intent: Column, rules: list[tuple[list[str], list[str], str]]) -> Column:
-    """The intent of the first rule with a word of both its lists in the text, else ``intent``."""
+    """The intent of the first rule with a word of both its lists in the text, else a comparison if
+    it names three products or more, else ``intent``."""
     has = lambda words: text.rlike("|".join(words))
-    return F.coalesce(*[F.when(has(a) & has(b), F.lit(then)) for a, b, then in rules], intent)
+    many = F.when(F.size(product_names(text)) >= 3, F.lit("policy_comparison"))
+    return F.coalesce(*[F.when(has(a) & has(b), F.lit(then)) for a, b, then in rules], many, intent)
+
+
+def is_complex(text: Column, intent: Column) -> Column:
+    """Whether the intent is complex by itself or the text has a word that makes it so."""
+    return intent.isin(COMPLEX_INTENTS) | text.rlike("|".join(COMPLEX_WORDS))
+
+
+def needs_regulation(text: Column, intent: Column) -> Column:
+    """Whether an answer needs regulations."""
+    return intent.isin(REGULATED_INTENTS) | text.rlike("|".join(REGULATED_WORDS))
+
+
+def decide_intent(keyword: Column, keyword_score: Column, resolved: Column, embedding: Column, embedding_score: Column, model: Column) -> Column:
+    """A struct (intent, confidence, tier) from three classifiers.
+
+    A sure keyword decides.  A likely one decides, a little surer if the embedding agrees with
+    ``resolved`` (the keyword's intent after disambiguation), unless a sure embedding disagrees;
+    then, and where neither is sure, the ``model`` (a struct of intent and confidence) does.
+    Without a keyword (null) a sure embedding decides.
+    """
+    pick = lambda intent, score, tier: F.struct(intent.alias("intent"), F.round(score, 6).alias("confidence"), F.lit(tier).alias("tier"))
+    sure, likely = F.coalesce(keyword_score >= KEYWORD_SURE, F.lit(False)) & keyword.isNotNull(), F.coalesce(keyword_score >= KEYWORD_LIKELY, F.lit(False)) & keyword.isNotNull()
+    strong = F.coalesce(embedding_score >= EMBEDDING_SURE, F.lit(False)) & embedding.isNotNull()
+    deferred = pick(model["intent"], model["confidence"], "model")
+    return (
+        F.when(sure, pick(resolved, keyword_score, "keyword"))
+        .when(likely & embedding.eqNullSafe(resolved), pick(resolved, F.least(keyword_score + 0.05, F.lit(1.0)), "agreed"))
+        .when(likely & strong, deferred).when(likely, pick(resolved, keyword_score, "keyword"))
+        .when(strong, pick(embedding, embedding_score, "embedding")).otherwise(deferred)
+    )
 
 
 def product_names(text: Column) -> Column:
@@ -98,19 +137,18 @@ def topic_words(text: Column) -> Column:
 
 def expand_glossary(text: Column, abbreviations: dict[str, str], synonyms: dict[str, list[str]], limit: int = 3) -> Column:
     """Abbreviations replaced in order, then for each contained term its first synonym that is not
-    contained, appended; not beyond ``limit`` times the length."""
+    contained, appended; the result is cut at ``limit`` times the length."""
     out = text
     for short, long in abbreviations.items():
         out = F.replace(out, F.lit(short), F.lit(long))
     table = F.array(*[F.struct(F.lit(k).alias("term"), F.array(*map(F.lit, v)).alias("words")) for k, v in synonyms.items()])
-    longest = F.length(text) * limit
 
     def add(acc: Column, entry: Column) -> Column:
         word = F.filter(entry["words"], lambda w: ~F.contains(acc, w))
         longer = F.concat(acc, F.lit(" "), F.try_element_at(word, F.lit(1)))
-        return F.when(F.contains(acc, entry["term"]) & (F.size(word) > 0) & (F.length(longer) <= longest), longer).otherwise(acc)
+        return F.when(F.contains(acc, entry["term"]) & (F.size(word) > 0), longer).otherwise(acc)
 
-    return F.aggregate(table, out, add)
+    return F.substring(F.aggregate(table, out, add), F.lit(1), F.length(text) * limit)
 
 
 def lenient_json(text: Column, schema: str) -> Column:
@@ -121,6 +159,54 @@ def lenient_json(text: Column, schema: str) -> Column:
     return F.coalesce(*tried)
 
 
+def lenient_json_array(text: Column, schema: str) -> Column:
+    """The array in a text that is JSON, holds a fenced block of it, or an array somewhere."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    inner = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
+    return F.coalesce(*[F.when(F.try_parse_json(c).isNotNull() & F.trim(c).startswith("["), F.from_json(c, f"ARRAY<{schema}>")) for c in (text, fenced, inner)])
+
+
+def is_law(file_name: Column) -> Column:
+    """Whether a file's name is a law's."""
+    return F.coalesce(file_name.rlike("|".join(LAW_WORDS)), F.lit(False))
+
+
+def sub_split(text: Column, size: int = 50_000, heading: str = r"### |## ■ ") -> Column:
+    """A long section in parts that begin at its headings, each as long as it may be.
+
+    Headings are taken in order; a part ends before the one that would make it longer than
+    ``size``.  What stands before the first heading belongs to the first part; parts are trimmed,
+    empty ones dropped; a section that is never split stays as it is, and so does one without
+    headings, however long.
+    """
+    pieces = F.split(text, f"(?m)(?=^(?:{heading}))")
+    rest = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    begin = F.struct(F.array().cast("array<string>").alias("done"), pieces[0].alias("open"))
+
+    def add(acc: Column, piece: Column) -> Column:
+        full = F.length(acc["open"]) + F.length(piece) > size
+        return F.when(full, F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), piece.alias("open"))).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["open"], piece).alias("open")))
+
+    parts = F.aggregate(rest, begin, add, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+    trimmed = F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"(?s)^\s+|\s+$", "")), lambda p: p != "")
+    return F.when(F.size(trimmed) > 1, trimmed).otherwise(F.array(text))
+
+
+def within_budget(sections: Column, budget: int = 100_000, least: int = 1000) -> Column:
+    """Texts in order until the next one passes the budget; of that one the part that fits, with
+    ``...``, if it is longer than ``least``."""
+    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("used"), F.lit(False).alias("full"))
+
+    def add(acc: Column, text: Column) -> Column:
+        left = F.lit(budget) - acc["used"]
+        over = F.length(text) > left
+        cut = F.concat(F.substring(text, F.lit(1), left), F.lit("..."))
+        out = F.when(acc["full"], acc["out"]).when(~over, F.concat(acc["out"], F.array(text))).when(left > least, F.concat(acc["out"], F.array(cut))).otherwise(acc["out"])
+        return F.struct(out.alias("out"), F.when(acc["full"] | over, acc["used"]).otherwise(acc["used"] + F.length(text)).alias("used"), (acc["full"] | over).alias("full"))
+
+    return F.aggregate(sections, begin, add, lambda acc: acc["out"])
+
+
 def split_sections(text: Column, heading: str = r"## \d+\.") -> Column:
     """Sections (number, title, body): split at lines that begin with a heading.
 

@@ -19,14 +19,16 @@ class Expand:
     """Follow edges of ``types``; ``reverse`` goes from target to source.
 
     ``optional`` keeps a path that no edge continues, standing where it was.  ``contains``
-    asks the next vertex's label to contain a keyword.  ``limit`` is not a step of its own: paths
-    are bags.
+    asks the next vertex's label to contain a keyword.  ``then`` is a nested optional step: only
+    paths that this step has continued take it.  ``limit`` is not a step of its own: paths are
+    bags.
     """
 
     types: tuple[str, ...]
     reverse: bool = False
     optional: bool = False
     contains: str | None = None
+    then: Expand | None = None
 
 
 @dataclass(frozen=True)
@@ -47,18 +49,30 @@ def start(graph: Graph, condition: Column | None = None) -> DataFrame:
 
 
 def expand(paths: DataFrame, graph: Graph, step: Expand) -> DataFrame:
-    """Each path with every edge and vertex that continue it."""
+    """Each path with every edge and vertex that continue it.
+
+    Where the graph knows which types an edge type leads to, only these vertices are read.
+    """
+    return _expand(paths.withColumn("_at", F.col("cur")), graph, step).drop("_at")
+
+
+def _expand(paths: DataFrame, graph: Graph, step: Expand) -> DataFrame:
+    """The same from ``_at``, which is null for a path that may not go on."""
     here, there = ("dst", "src") if step.reverse else ("src", "dst")
-    edges = graph.edges.where(F.col("type").isin(*step.types)).select(F.col(here).alias("cur"), F.col(there).alias("next"), F.col("type").alias("e_type"))
-    ends = graph.vertices.select(F.col("id").alias("next"), F.col("type").alias("v_type"), F.col("label").alias("v_label"))
+    edges = graph.edges.where(F.col("type").isin(*step.types)).select(F.col(here).alias("_here"), F.col(there).alias("next"), F.col("type").alias("e_type"))
+    ends = graph.vertices
+    if all(t in graph.ends for t in step.types):
+        ends = ends.where(F.col("type").isin(*sorted({t for e in step.types for t in graph.ends[e][0 if step.reverse else 1]})))
+    ends = ends.select(F.col("id").alias("next"), F.col("type").alias("v_type"), F.col("label").alias("v_label"))
     if step.contains is not None:
         ends = ends.where(F.col("v_label").contains(step.contains))
     # edge and vertex are joined first: an edge without its vertex continues nothing
     hops = edges.join(ends, "next")
-    joined = paths.join(hops, "cur", "left" if step.optional else "inner")
-    edge = _element("edge", F.concat_ws("-", "cur", "next", "e_type"), F.col("e_type"), F.col("e_type"))
+    joined = paths.join(hops, F.col("_at") == F.col("_here"), "left" if step.optional else "inner")
+    edge = _element("edge", F.concat_ws("-", "_here", "next", "e_type"), F.col("e_type"), F.col("e_type"))
     longer = F.concat("objects", F.array(edge, _element("vertex", F.col("next"), F.col("v_type"), F.col("v_label"))))
-    return joined.select("root", F.coalesce("next", "cur").alias("cur"), F.when(F.col("next").isNull(), F.col("objects")).otherwise(longer).alias("objects"))
+    out = joined.select("root", F.coalesce("next", "cur").alias("cur"), F.when(F.col("next").isNull(), F.col("objects")).otherwise(longer).alias("objects"), F.col("next").alias("_at"))
+    return out if step.then is None else _expand(out, graph, step.then)
 
 
 def compile_pattern(paths: DataFrame, graph: Graph, steps: tuple | list) -> DataFrame:

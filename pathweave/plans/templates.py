@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathweave.plans.pattern import Expand, Union, compile_pattern, start
+from pathweave.schema import EDGE_TYPES
+from pathweave.session import cut
 from pathweave.sources.tpch_graph import Graph
 
 
@@ -13,7 +15,8 @@ def _one(kind: str, **options) -> Expand:
     return Expand((kind,), **options)
 
 
-_EXCEPTION = (_one("EXCLUDED_IF", optional=True), _one("EXCEPTION_ALLOWED", optional=True))
+# the exception is asked for only where there is an exclusion
+_EXCEPTION = (_one("EXCLUDED_IF", optional=True, then=_one("EXCEPTION_ALLOWED", optional=True)),)
 _COVERAGE_CHAIN = (_one("HAS_COVERAGE"), *_EXCEPTION)
 
 #: Steps by template, all from policies but the reverse lookup.
@@ -34,7 +37,7 @@ TEMPLATES: dict[str, tuple] = {
     "comprehensive_lookup": (
         Union((
             _COVERAGE_CHAIN,
-            (_one("HAS_COVERAGE"), _one("CALCULATED_BY")),
+            (_one("HAS_COVERAGE"), _one("CALCULATED_BY", optional=True)),
             (_one("NO_DIVIDEND_STRUCTURE"),),
             (_one("GOVERNED_BY"), _one("EXCEPTIONALLY_ALLOWED", optional=True)),
             (_one("SURRENDER_PAYS"),),
@@ -46,27 +49,51 @@ TEMPLATES: dict[str, tuple] = {
     ),
 }
 
-#: Template of each intent; others fall to coverage.
+# The template of each intent; others fall to coverage.
 ROUTES = {
     "coverage_inquiry": "coverage_lookup",
     "dividend_check": "dividend_eligibility_check",
-    "exclusion_exception": "exclusion_full_traverse",
+    "exclusion_exception": "exclusion_exception_traverse",
     "surrender_value": "surrender_value_lookup",
     "discount_eligibility": "discount_eligibility",
     "regulation_inquiry": "regulation_lookup",
+    "loan_inquiry": "comprehensive_lookup",
     "premium_waiver": "premium_waiver_lookup",
     "policy_comparison": "comprehensive_lookup",
     "calculation_inquiry": "calculation_lookup",
     "eligibility_inquiry": "eligibility_lookup",
     "rider_inquiry": "rider_lookup",
-    "general": "coverage_lookup",
 }
+# The types that a template is meant to find.
+TARGETS = {
+    "coverage_lookup": ["Coverage"], "dividend_eligibility_check": ["Dividend_Method"], "exclusion_exception_traverse": ["Exclusion"],
+    "exclusion_full_traverse": ["Exclusion"], "surrender_value_lookup": ["Surrender_Value"], "discount_eligibility": ["Premium_Discount"],
+    "regulation_lookup": ["Regulation"], "regulation_reverse_lookup": ["Regulation", "Policy"], "calculation_lookup": ["Calculation"],
+    "premium_waiver_lookup": ["Coverage"], "eligibility_lookup": ["Eligibility"], "rider_lookup": ["Rider"], "dividend_portfolio_check": ["Dividend_Method"],
+}
+# Endings of names that mean no product in particular.
+GENERIC_ENDINGS = ["보험상품", "보험 상품", "상품"]
+# The words that tell which aspect a comparison is about, first template first.
+ASPECTS = {
+    "coverage_lookup": ["보장", "보장항목", "보험금"],
+    "exclusion_exception_traverse": ["면책", "예외", "제외"],
+    "dividend_eligibility_check": ["배당", "무배당"],
+    "surrender_value_lookup": ["해약", "환급금", "해지"],
+    "discount_eligibility": ["할인"],
+    "calculation_lookup": ["계산", "계산식", "산출", "공식"],
+}
+PORTFOLIO, SEEDS, DIRECTION, COMPARED = 30, 5, 3, 2
 
 
 def run_template(graph: Graph, name: str, seeds: DataFrame | None = None) -> DataFrame:
-    """Paths of a template from all vertices of its kind, or from ``seeds`` (``id``)."""
+    """Paths of a template from all vertices of its kind, or from ``seeds`` (``id``).
+
+    The portfolio template looks at its first ``PORTFOLIO`` policies by id.
+    """
     kind = "Regulation" if name == "regulation_reverse_lookup" else "Policy"
     frontier = start(graph, F.col("type") == kind)
+    if name == "dividend_portfolio_check":
+        frontier = frontier.orderBy("root").limit(PORTFOLIO)
     if seeds is not None:
         frontier = frontier.join(seeds.select(F.col("id").alias("root")).distinct(), "root", "left_semi")
     return compile_pattern(frontier, graph, TEMPLATES[name])
@@ -80,9 +107,37 @@ def keyword_exclusions(graph: Graph, keyword: str | None) -> DataFrame:
     return compile_pattern(start(graph, F.col("type") == "Policy"), graph, steps)
 
 
+def ordered_by_label(paths: DataFrame) -> DataFrame:
+    """The paths with ``place``, each root's by their last vertex's label and id."""
+    last = F.element_at("objects", -1)
+    return paths.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy(last["label"], last["id"])))
+
+
+def discounts(graph: Graph) -> DataFrame:
+    """``root, id, label, discount_rate_text, source_text`` of each policy's discounts."""
+    found = run_template(graph, "discount_eligibility").select("root", F.col("cur").alias("id"))
+    details = graph.vertices.where("type = 'Premium_Discount'")
+    rate = F.col("discount_rate_text") if "discount_rate_text" in details.columns else F.lit(None).cast("string")
+    return found.join(details, "id").select("root", "id", "label", rate.alias("discount_rate_text"), "source_text")
+
+
+def representatives(graph: Graph, limit: int = 3) -> DataFrame:
+    """A few policies by id, for questions without one: those of the type, else by their ids' prefix."""
+    typed = graph.vertices.where("type = 'Policy'").select("id").orderBy("id").limit(limit)
+    named = graph.vertices.where(F.col("id").startswith("Policy#")).select("id").orderBy("id").limit(limit)
+    rank = typed.withColumn("tier", F.lit(0)).unionAll(named.withColumn("tier", F.lit(1)))
+    # at most twice ``limit`` rows
+    return rank.withColumn("best", F.min("tier").over(Window.partitionBy())).where("tier = best").select("id")
+
+
 def neighbourhood(graph: Graph, seeds: DataFrame) -> DataFrame:
-    """``root, neighbour, type``: every edge at each seed, in either direction."""
-    roots = seeds.select(F.col("id").alias("root"))
+    """``root, neighbour, type``: every edge at each seed, in either direction.
+
+    With a ``query_id`` and a ``place``, the seeds are each question's first ``SEEDS``.
+    """
+    if {"query_id", "place"} <= set(seeds.columns):
+        seeds = seeds.where(F.col("place") <= SEEDS)
+    roots = seeds.select(F.col("id").alias("root")).distinct()
     out = graph.edges.select(F.col("src").alias("root"), F.col("dst").alias("neighbour"), "type")
     back = graph.edges.select(F.col("dst").alias("root"), F.col("src").alias("neighbour"), "type")
     return out.unionAll(back).join(roots, "root", "left_semi")
@@ -103,12 +158,81 @@ def resolve_policies(graph: Graph, hits: DataFrame, limit: int = 5) -> DataFrame
     return ranked.where(F.col("place") <= limit).select("hit", F.col("cur").alias("policy"), "place")
 
 
+def plan(questions: DataFrame) -> DataFrame:
+    """``query_id, exec_no, template, entry, keyword``: what to run for each question.
+
+    ``questions``: ``query_id, intent, entries`` (ids of its hits, best first), ``products``
+    (names in it) and ``keyword`` (an exclusion, or null).  Regulation questions go forward
+    from three policies and back from three regulations, or forward from the first hit.
+    Comparisons run the comprehensive template for two policies.  A dividend question without
+    a particular product looks at the portfolio.  Others start from the first policy, else the
+    first hit, else ``Policy#unknown``; an exclusion without keyword takes the full template,
+    and a coverage question is followed by one.  A null list counts as empty.
+    """
+    entries = F.coalesce("entries", F.array().cast("array<string>"))
+    of = lambda kind: F.filter(entries, lambda e: e.startswith(f"{kind}#"))
+    policies, regulations = of("Policy"), of("Regulation")
+    first = F.coalesce(F.get(policies, F.lit(0)), F.get(entries, F.lit(0)), F.lit("Policy#unknown"))
+    any_ = F.array(F.coalesce(F.get(entries, F.lit(0)), F.lit("Policy#unknown")))
+    run = lambda template, entry: F.struct(template.alias("template"), entry.alias("entry"))
+    each = lambda ids, template: F.transform(ids, lambda e: run(F.lit(template), e))
+    both = F.concat(each(F.slice(policies, 1, DIRECTION), "regulation_lookup"), each(F.slice(regulations, 1, DIRECTION), "regulation_reverse_lookup"))
+    regulation = F.when(F.size(both) > 0, both).otherwise(each(any_, "regulation_lookup"))
+    pair = F.slice(F.array_distinct(policies), 1, COMPARED)
+    comparison = each(F.when(F.size(pair) > 0, pair).otherwise(any_), "comprehensive_lookup")
+    generic = lambda p: F.coalesce(*[F.when(p.endswith(x), True) for x in GENERIC_ENDINGS], F.lit(False))
+    particular = F.exists(F.coalesce("products", F.array().cast("array<string>")), lambda p: ~generic(p))
+    named = F.coalesce(F.create_map(*[F.lit(x) for kv in ROUTES.items() for x in kv])[F.col("intent")], F.lit("coverage_lookup"))
+    exclusion = F.when(F.coalesce(F.col("keyword"), F.lit("")) == "", "exclusion_full_traverse").otherwise("exclusion_exception_traverse")
+    # a keyword that is given but empty filters by it, which is no filter
+    main = F.when(named == "exclusion_exception_traverse", F.when(F.col("keyword").isNull(), "exclusion_full_traverse").otherwise(named)).otherwise(named)
+    usual = F.concat(F.array(run(main, first)), F.when(F.col("intent") == "coverage_inquiry", F.array(run(exclusion, first))).otherwise(F.array().cast("array<struct<template:string,entry:string>>")))
+    runs = (
+        F.when(F.col("intent") == "regulation_inquiry", regulation).when(F.col("intent") == "policy_comparison", comparison)
+        .when((F.col("intent") == "dividend_check") & ~particular, F.array(run(F.lit("dividend_portfolio_check"), F.lit(None).cast("string")))).otherwise(usual)
+    )
+    return questions.select("query_id", "keyword", F.posexplode(runs).alias("exec_no", "r")).select("query_id", "exec_no", "r.template", "r.entry", "keyword")
+
+
 def route(intents: DataFrame) -> DataFrame:
-    """``query_id, intent, template``: what to run for each classified question."""
+    """``query_id, intent, template``: the template that each classified question starts from."""
     pairs = F.create_map(*[F.lit(x) for kv in ROUTES.items() for x in kv])
     return intents.withColumn("template", F.coalesce(pairs[F.col("intent")], F.lit("coverage_lookup")))
 
 
+def aspect(entities: Column) -> Column:
+    """The template of the first aspect with a word in a comparison's entities."""
+    has = lambda words: entities.rlike("|".join(words))
+    return F.coalesce(*[F.when(has(words), F.lit(name)) for name, words in ASPECTS.items()], F.lit("comprehensive_lookup"))
+
+
+def enriched(graph: Graph, name: str) -> DataFrame:
+    """``root, chosen, objects``: each policy's paths of a template or of its fallbacks.
+
+    The template's own where they reach one of its target types or the comprehensive ones reach
+    no more vertices; else the comprehensive ones; where neither has any, the neighbourhood.
+    """
+    def reached(paths: DataFrame, n: str) -> DataFrame:
+        kind = F.transform(F.filter("objects", lambda o: o["kind"] == "vertex"), lambda o: F.struct(o["id"].alias("id"), o["type"].alias("type")))
+        one = paths.select("root", F.explode(kind).alias("v"))
+        return one.groupBy("root").agg(F.count_distinct("v.id").alias(n), F.max(F.col("v.type").isin(TARGETS[name])).alias(f"{n}_target"))
+
+    # a start alone is no result
+    real = lambda paths: paths.where(F.size("objects") > 1)
+    # each is read twice, and is a plan of many joins
+    own, wide = cut(real(run_template(graph, name))), cut(real(run_template(graph, "comprehensive_lookup")))
+    roots = graph.vertices.where("type = 'Policy'").select(F.col("id").alias("root"))
+    facts = roots.join(reached(own, "a"), "root", "left").join(reached(wide, "b"), "root", "left")
+    a, b = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
+    better = ~F.coalesce("a_target", F.lit(False)) & (b > a)
+    facts = facts.select("root", F.when(better, "comprehensive").when(a > 0, "primary").otherwise("neighbourhood").alias("chosen"))
+    facts = cut(facts)
+    alone = start(graph, F.col("type") == "Policy").join(facts.where("chosen = 'neighbourhood'").select("root"), "root", "left_semi")
+    near = real(compile_pattern(alone, graph, (Union(((Expand(tuple(EDGE_TYPES)),), (Expand(tuple(EDGE_TYPES), reverse=True),))),)))
+    tagged = [p.select("root", "objects", F.lit(k).alias("chosen")) for k, p in (("primary", own), ("comprehensive", wide), ("neighbourhood", near))]
+    return tagged[0].unionAll(tagged[1]).unionAll(tagged[2]).join(facts, ["root", "chosen"], "left_semi")
+
+
 def fallback(counts: DataFrame) -> DataFrame:
     """Which result a question ends with, from ``query_id, n_primary, n_comprehensive,
     n_neighbourhood, has_target``: the primary one if it has its target type or the

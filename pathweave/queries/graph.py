@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathweave.operators import subgraph, traversal
-from pathweave.plans.pattern import Expand, Union, hops, path_text
-from pathweave.plans.templates import TEMPLATES, fallback, keyword_exclusions, neighbourhood, resolve_policies, run_template
+from pathweave.plans.pattern import hops, path_text
+from pathweave.plans.templates import TEMPLATES, discounts, enriched, fallback, keyword_exclusions, neighbourhood, ordered_by_label, representatives, resolve_policies, run_template
 from pathweave.schema import DELAYS, EDGE_STYLES, PROTECTED_CONSTRAINTS, ROLE_SCOPES, role_scope
 from pathweave.sources.tpch_graph import GRAPH_SQL, load
 
@@ -28,44 +28,87 @@ def query(name: str, sql: str | None = None):
 # patterns
 
 
-def pattern_sql(steps: tuple, kind: str) -> str:
-    """SQL of a pattern's paths as ``root, path, vertices``."""
-    ctes = [f"p0 AS (SELECT id AS root, id AS cur, id AS path, 1 AS n FROM v WHERE type = '{kind}')"]
-
-    def follow(steps: tuple, source: str) -> str:
-        for step in steps:
-            if isinstance(step, Union):
-                parts = [follow(branch, source) for branch in step.branches]
-                body = " UNION ALL ".join(f"SELECT * FROM {p}" for p in parts)
-            else:
-                here, there = ("dst", "src") if step.reverse else ("src", "dst")
-                types = ", ".join(f"'{t}'" for t in step.types)
-                edges = f"(SELECT e.{here} AS a, e.{there} AS b, e.type AS t FROM e JOIN v ON v.id = e.{there} WHERE e.type IN ({types})"
-                edges += f" AND contains(v.label, '{step.contains}'))" if step.contains else ")"
-                join = "LEFT JOIN" if step.optional else "JOIN"
-                body = f"SELECT root, coalesce(b, cur) AS cur, path || coalesce('>' || t || '>' || b, '') AS path, n + CASE WHEN b IS NULL THEN 0 ELSE 1 END AS n FROM {source} {join} {edges} ON a = cur"
-            source = f"p{len(ctes)}"
-            ctes.append(f"{source} AS ({body})")
-        return source
-
-    last = follow(steps, "p0")
-    return f"WITH {GRAPH_SQL}, {', '.join(ctes)} SELECT root, path, CAST(n AS BIGINT) AS vertices FROM {last}"
+def _chain(*hops: str) -> str:
+    """Paths of required hops (edge types, in order) from ``e`` and ``v``."""
+    names = [f"e{i}" for i in range(len(hops))]
+    path = "e0.src || " + " || ".join(f"'>{h}>' || {n}.dst" for n, h in zip(names, hops, strict=True))
+    joins = " ".join(f"JOIN e {n} ON {n}.src = {m}.dst AND {n}.type = '{h}'" for m, n, h in zip(names, names[1:], hops[1:], strict=False))
+    return f"SELECT e0.src AS root, {path} AS path, CAST({len(hops) + 1} AS BIGINT) AS vertices FROM e e0 {joins} WHERE e0.type = '{hops[0]}'"
+
+
+# an exclusion may follow, and an exception may follow it
+_EXCLUDED = """SELECT a.src AS root, a.src || '>{0}>' || a.dst || coalesce('>EXCLUDED_IF>' || x.dst || coalesce('>EXCEPTION_ALLOWED>' || y.dst, ''), '') AS path,
+CAST(2 + (x.dst IS NOT NULL)::INT + (y.dst IS NOT NULL)::INT AS BIGINT) AS vertices
+FROM e a LEFT JOIN e x ON x.src = a.dst AND x.type = 'EXCLUDED_IF' LEFT JOIN e y ON y.src = x.dst AND y.type = 'EXCEPTION_ALLOWED' WHERE a.type = '{0}'"""
+_FULL = """SELECT a.src AS root, a.src || '>HAS_COVERAGE>' || a.dst || '>EXCLUDED_IF>' || x.dst || coalesce('>EXCEPTION_ALLOWED>' || y.dst, '') AS path, CAST(3 + (y.dst IS NOT NULL)::INT AS BIGINT) AS vertices
+FROM e a JOIN e x ON x.src = a.dst AND x.type = 'EXCLUDED_IF' LEFT JOIN e y ON y.src = x.dst AND y.type = 'EXCEPTION_ALLOWED' WHERE a.type = 'HAS_COVERAGE'"""
+_MAYBE = """SELECT a.src AS root, a.src || '>{0}>' || a.dst || coalesce('>{1}>' || x.dst, '') AS path, CAST(2 + (x.dst IS NOT NULL)::INT AS BIGINT) AS vertices
+FROM e a LEFT JOIN e x ON x.src = a.dst AND x.type = '{1}' WHERE a.type = '{0}'"""
+#: SQL of the templates' paths as ``root, path, vertices``, written by hand over ``v`` and ``e``.
+PATTERN_SQL = {
+    "coverage_lookup": _EXCLUDED.format("HAS_COVERAGE"),
+    "dividend_eligibility_check": _chain("NO_DIVIDEND_STRUCTURE") + " UNION ALL " + _MAYBE.format("GOVERNED_BY", "EXCEPTIONALLY_ALLOWED"),
+    "exclusion_full_traverse": _FULL,
+    "surrender_value_lookup": _chain("SURRENDER_PAYS"),
+    "discount_eligibility": _chain("HAS_DISCOUNT"),
+    # the second optional step starts from where the first has led, or from the regulation
+    "regulation_lookup": """SELECT a.src AS root, a.src || '>GOVERNED_BY>' || a.dst || coalesce('>STRICTLY_PROHIBITED>' || x.dst, '') || coalesce('>EXCEPTIONALLY_ALLOWED>' || y.dst, '') AS path,
+CAST(2 + (x.dst IS NOT NULL)::INT + (y.dst IS NOT NULL)::INT AS BIGINT) AS vertices FROM e a LEFT JOIN e x ON x.src = a.dst AND x.type = 'STRICTLY_PROHIBITED'
+LEFT JOIN e y ON y.src = coalesce(x.dst, a.dst) AND y.type = 'EXCEPTIONALLY_ALLOWED' WHERE a.type = 'GOVERNED_BY'""",
+    "regulation_reverse_lookup": "SELECT dst AS root, dst || '>GOVERNED_BY>' || src AS path, CAST(2 AS BIGINT) AS vertices FROM e WHERE type = 'GOVERNED_BY'",
+    "calculation_lookup": " UNION ALL ".join(_chain(t, "CALCULATED_BY") for t in ("HAS_COVERAGE", "SURRENDER_PAYS", "HAS_DISCOUNT", "HAS_RIDER")),
+    "premium_waiver_lookup": _EXCLUDED.format("WAIVES_PREMIUM"),
+    "eligibility_lookup": _chain("REQUIRES_ELIGIBILITY"),
+    "rider_lookup": _chain("HAS_RIDER"),
+    "dividend_portfolio_check": """SELECT p.id AS root, p.id || coalesce('>NO_DIVIDEND_STRUCTURE>' || x.dst, '') AS path, CAST(1 + (x.dst IS NOT NULL)::INT AS BIGINT) AS vertices
+FROM (SELECT id FROM v WHERE starts_with(id, 'Policy#') ORDER BY id LIMIT 30) p LEFT JOIN e x ON x.src = p.id AND x.type = 'NO_DIVIDEND_STRUCTURE'""",
+}
+PATTERN_SQL["comprehensive_lookup"] = " UNION ALL ".join([
+    PATTERN_SQL["coverage_lookup"], _MAYBE.format("HAS_COVERAGE", "CALCULATED_BY"), PATTERN_SQL["dividend_eligibility_check"],
+    *map(_chain, ("SURRENDER_PAYS", "REQUIRES_ELIGIBILITY", "HAS_RIDER", "WAIVES_PREMIUM", "OWNS")),
+])
 
 
 def _flat(paths: DataFrame) -> DataFrame:
     return paths.select("root", path_text().alias("path"), hops().cast("long").alias("vertices"))
 
 
-for _name, _steps in TEMPLATES.items():
+for _name in TEMPLATES:
     QUERIES[_name] = lambda spark, sf_dir, name=_name: _flat(run_template(load(spark, sf_dir), name))
-    SQL[_name] = pattern_sql(_steps, "Regulation" if _name == "regulation_reverse_lookup" else "Policy")
+    SQL[_name] = f"WITH {GRAPH_SQL} SELECT * FROM ({PATTERN_SQL[_name]})"
 
 
-@query("exclusion_exception_traverse", pattern_sql((Expand(("HAS_COVERAGE",)), Expand(("EXCLUDED_IF",), contains="a"), Expand(("EXCEPTION_ALLOWED",), optional=True)), "Policy"))
+@query("exclusion_exception_traverse", f"WITH {GRAPH_SQL} SELECT * FROM ({_FULL} AND x.dst IN (SELECT id FROM v WHERE contains(label, 'a')))")
 def exclusion_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(keyword_exclusions(load(spark, sf_dir), "a"))
 
 
+@query("surrender_order", f"WITH {GRAPH_SQL} SELECT src AS root, dst AS id, CAST(row_number() OVER (PARTITION BY src ORDER BY label, dst) AS INTEGER) AS place FROM e JOIN v ON v.id = dst WHERE e.type = 'SURRENDER_PAYS'")
+def surrender_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered_by_label(run_template(load(spark, sf_dir), "surrender_value_lookup")).select("root", F.col("cur").alias("id"), "place")
+
+
+@query("discount_details", f"WITH {GRAPH_SQL} SELECT src AS root, id, label, CAST(NULL AS VARCHAR) AS discount_rate_text, source_text FROM e JOIN v ON v.id = dst WHERE e.type = 'HAS_DISCOUNT'")
+def discount_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discounts(load(spark, sf_dir))
+
+
+@query("representative_policies", f"WITH {GRAPH_SQL} SELECT id FROM v WHERE type = 'Policy' ORDER BY id LIMIT 3")
+def representative_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representatives(load(spark, sf_dir))
+
+
+@query("enriched_dividends", f"""WITH {GRAPH_SQL}, o AS ({PATTERN_SQL["dividend_eligibility_check"]}), w AS ({PATTERN_SQL["comprehensive_lookup"]}),
+n AS (SELECT src AS root, src || '>' || type || '>' || dst AS path FROM e WHERE src LIKE 'Policy#%' UNION ALL SELECT dst, dst || '>' || type || '>' || src FROM e WHERE dst LIKE 'Policy#%'),
+ids AS (SELECT 'o' AS k, root, unnest(string_split(path, '>')) AS x FROM o UNION ALL SELECT 'w', root, unnest(string_split(path, '>')) FROM w),
+f AS (SELECT p.id AS root, count(DISTINCT x) FILTER (WHERE k = 'o' AND contains(x, '#')) AS a, count(DISTINCT x) FILTER (WHERE k = 'w' AND contains(x, '#')) AS b, coalesce(bool_or(k = 'o' AND x LIKE 'Dividend_Method#%'), false) AS t FROM v p LEFT JOIN ids ON ids.root = p.id WHERE p.type = 'Policy' GROUP BY p.id),
+c AS (SELECT root, CASE WHEN NOT t AND b > a THEN 'comprehensive' WHEN a > 0 THEN 'primary' ELSE 'neighbourhood' END AS chosen FROM f)
+SELECT root, chosen, path FROM c JOIN (SELECT root, path, 'primary' AS k FROM o UNION ALL SELECT root, path, 'comprehensive' FROM w UNION ALL SELECT root, path, 'neighbourhood' FROM n) USING (root) WHERE k = chosen""")
+def enriched_dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each policy's dividend paths, or those of its fallbacks."""
+    return enriched(load(spark, sf_dir), "dividend_eligibility_check").select("root", "chosen", path_text().alias("path"))
+
+
 @query("neighborhood_lookup", f"""WITH {GRAPH_SQL} SELECT src AS root, dst AS neighbour, type FROM e WHERE src LIKE 'Regulation#%'
 UNION ALL SELECT dst, src, type FROM e WHERE dst LIKE 'Regulation#%'""")
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,9 +168,7 @@ def _paths(spark: SparkSession, sf_dir: str, template: str = "regulation_lookup"
 
 def paths_sql(template: str = "regulation_lookup") -> str:
     """CTEs ``g`` (paths), ``el`` (elements), ``nd`` (nodes) and ``ed`` (edges) of a template."""
-    inner = pattern_sql(TEMPLATES[template], "Policy")
-    head, _, tail = inner.rpartition(" SELECT root, path, CAST(n AS BIGINT)")
-    return f"""{head}, g AS (SELECT root AS query_id, row_number() OVER (PARTITION BY root ORDER BY path) AS path_no, string_split(path, '>') AS o FROM (SELECT root, path, n{tail.replace(' AS vertices', '')})),
+    return f"""WITH {GRAPH_SQL}, g AS (SELECT root AS query_id, row_number() OVER (PARTITION BY root ORDER BY path) AS path_no, string_split(path, '>') AS o FROM ({PATTERN_SQL[template]})),
 el AS (SELECT query_id, path_no, k - 1 AS pos, o[k] AS x, o[k - 1] AS before, o[k + 1] AS after, k % 2 = 1 AS is_v FROM (SELECT *, unnest(range(1, len(o) + 1)) AS k FROM g)),
 nd AS (SELECT query_id, x AS id, row_number() OVER (PARTITION BY query_id ORDER BY path_no, pos) AS ord, path_no, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, x ORDER BY path_no, pos) AS r FROM el WHERE is_v) WHERE r = 1),
 ed AS (SELECT query_id, path_no, pos, before AS src, after AS dst, x AS type FROM el WHERE NOT is_v)"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pathweave.functions import text as tx
 from pathweave.functions.intents import KEYWORDS, REGULATORY, RULES, STRONG_CALCULATION
 from pathweave.functions.vector import cosine
-from pathweave.operators import customers, evaluation, integrity, retrieval
+from pathweave.operators import answers, customers, evaluation, integrity, retrieval
 from pathweave.plans.templates import ROUTES, route
 from pathweave.sources import files
 from pathweave.sources.tpch_graph import GRAPH_SQL, load
@@ -197,7 +197,9 @@ def keyword_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _questions(spark, sf_dir).select("id", found["score"].cast("double").alias("score"), found["intent"].alias("intent"))
 
 
-_RULE_SQL = f"CASE WHEN {_has(REGULATORY)} AND NOT {_has(STRONG_CALCULATION)} THEN 'regulation_inquiry' " + " ".join(f"WHEN {_has(a)} AND {_has(b)} THEN '{t}'" for a, b, t in RULES) + " ELSE intent END"
+# distinct product names, each without the particle that ends it
+_PRODUCTS = r"len(list_distinct(list_transform(flatten([regexp_extract_all(text, p) for p in ['한화생명\s*\S+', '\S+종신보험\S*', '\S+정기보험\S*', '\S+암보험\S*', '\S+건강보험\S*', '[eEHh]\S+보험\S*']]), lambda x: regexp_replace(x, '(이랑|에서|부터|까지|에게|으로|하고|이나|보다|과|와|의|은|는|을|를|이|가|에|도|만|로|나)$', ''))))"
+_RULE_SQL = f"CASE WHEN {_has(REGULATORY)} AND NOT {_has(STRONG_CALCULATION)} THEN 'regulation_inquiry' " + " ".join(f"WHEN {_has(a)} AND {_has(b)} THEN '{t}'" for a, b, t in RULES) + f" WHEN {_PRODUCTS} >= 3 THEN 'policy_comparison' ELSE intent END"
 
 
 def _intents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,14 +214,20 @@ def disambiguated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _intents(spark, sf_dir)
 
 
-@query("routed_template", _keyword_sql() + f", r AS (SELECT id AS query_id, {_RULE_SQL} AS intent FROM ki) SELECT query_id, intent, CASE intent " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ROUTES.items()) + " ELSE 'coverage_lookup' END AS template FROM r")
+@query("routed_template", _keyword_sql() + f", r AS (SELECT id AS query_id, {_RULE_SQL} AS intent FROM ki) SELECT query_id, intent, CASE intent WHEN 'dividend_check' THEN 'dividend_eligibility_check' WHEN 'exclusion_exception' THEN 'exclusion_exception_traverse' WHEN 'surrender_value' THEN 'surrender_value_lookup' WHEN 'discount_eligibility' THEN 'discount_eligibility' WHEN 'regulation_inquiry' THEN 'regulation_lookup' WHEN 'loan_inquiry' THEN 'comprehensive_lookup' WHEN 'policy_comparison' THEN 'comprehensive_lookup' WHEN 'premium_waiver' THEN 'premium_waiver_lookup' WHEN 'calculation_inquiry' THEN 'calculation_lookup' WHEN 'eligibility_inquiry' THEN 'eligibility_lookup' WHEN 'rider_inquiry' THEN 'rider_lookup' ELSE 'coverage_lookup' END AS template FROM r")
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route(_intents(spark, sf_dir).withColumnRenamed("id", "query_id"))
 
 
-@query("complexity", f"WITH {QUESTION_SQL} SELECT id, {_has(tx.COMPLEX_WORDS)} AS complex FROM qs")
+@query("complexity", _keyword_sql() + f""" SELECT id, intent IN ('dividend_check', 'exclusion_exception', 'regulation_inquiry', 'loan_inquiry', 'policy_comparison', 'calculation_inquiry')
+OR regexp_matches(text, '규제|상계|법|조항|예외|단서|위반|면책|계산식|산출|가입 조건|특약') AS complex,
+intent IN ('dividend_check', 'exclusion_exception', 'regulation_inquiry') OR regexp_matches(text, '규제|법|의무|위반') AS requires_regulation,
+CASE WHEN intent = 'policy_comparison' OR complex THEN 'large' ELSE 'small' END AS model FROM (SELECT id, text, {_RULE_SQL} AS intent FROM ki)""")
 def complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _questions(spark, sf_dir).select("id", F.col("text").rlike("|".join(tx.COMPLEX_WORDS)).alias("complex"))
+    """What each question's intent and words ask of an answer."""
+    rows = _questions(spark, sf_dir).join(_intents(spark, sf_dir), "id")
+    text, intent = F.col("text"), F.col("intent")
+    return rows.select("id", tx.is_complex(text, intent).alias("complex"), tx.needs_regulation(text, intent).alias("requires_regulation"), answers.model_size(intent, tx.is_complex(text, intent)).alias("model"))
 
 
 @query("product_names")
@@ -260,7 +268,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "line")
 
 
-@query("cache_lookup", """SELECT c.conv_id, c.turn, a.turn IS NOT NULL AS from_cache, coalesce('cached ' || c.role, 'live') AS response FROM conversations c LEFT JOIN (SELECT DISTINCT role, substr(text, 1, 80) AS k, 1 AS turn FROM conversations WHERE role = 'user') a ON a.role = c.role AND a.k = substr(c.text, 1, 80)""".replace("coalesce('cached ' || c.role, 'live')", "CASE WHEN a.turn IS NOT NULL THEN 'cached ' || c.role ELSE 'live' END"))
+@query("cache_lookup", """SELECT c.conv_id, c.turn, a.turn IS NOT NULL AS from_cache, CASE WHEN a.turn IS NOT NULL THEN 'cached ' || c.role ELSE 'live' END AS response FROM conversations c LEFT JOIN (SELECT DISTINCT role, substr(text, 1, 80) AS k, 1 AS turn FROM conversations WHERE role = 'user') a ON a.role = c.role AND a.k = substr(c.text, 1, 80)""")
 def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("persona"), F.col("text").alias("query"))
     key = F.concat(F.lit("mock/"), "persona", F.lit("/"), F.substring("query", 1, 80), F.lit(".json"))
@@ -384,9 +392,9 @@ def scenario_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("evaluation_summary", _RUNS + """ SELECT dimension, count(*) FILTER (WHERE status = 'PASS') AS pass, count(*) FILTER (WHERE status = 'FAIL') AS fail, count(*) FILTER (WHERE status = 'PARTIAL') AS partial,
-count(*) FILTER (WHERE status = 'SKIP') AS skip, count(*) FILTER (WHERE status = 'ERROR') AS error, round(100.0 * count(*) FILTER (WHERE status = 'PASS') / count(*) FILTER (WHERE status IN ('PASS', 'FAIL', 'PARTIAL')), 1) AS pass_rate FROM s GROUP BY dimension""")
+count(*) FILTER (WHERE status = 'SKIP') AS skip, count(*) FILTER (WHERE status = 'ERROR') AS error, round(100.0 * count(*) FILTER (WHERE status = 'PASS') / count(*) FILTER (WHERE status IN ('PASS', 'FAIL', 'PARTIAL')), 1) AS pass_rate FROM s JOIN o USING (k) WHERE NOT err GROUP BY dimension""")
 def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.summarise(scenario_scores(spark, sf_dir))
+    return evaluation.summarise(scenario_scores(spark, sf_dir), runs=_runs(spark, sf_dir))
 
 
 # customers and events

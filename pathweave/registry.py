@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pathweave.queries import graph, texts
+from pathweave.queries import answers, graph, texts
 
 
 def queries() -> dict:
-    return {**graph.QUERIES, **texts.QUERIES}
+    return {**graph.QUERIES, **texts.QUERIES, **answers.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {**graph.SQL, **texts.SQL}
+    return {**graph.SQL, **texts.SQL, **answers.SQL}

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 @dataclass
 class Graph:
-    """``vertices(id, type, label, source_text)`` and ``edges(src, dst, type)``."""
+    """``vertices(id, type, label, source_text)`` and ``edges(src, dst, type)``.
+
+    ``ends`` has, for edge types of which it is known, the types of their sources and targets.
+    """
 
     vertices: DataFrame
     edges: DataFrame
+    ends: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = field(default_factory=dict)
 
 
 #: One SELECT for each vertex type; the same text runs in Spark and in DuckDB.
@@ -50,6 +54,15 @@ UNION ALL SELECT concat('Policy#', o_custkey), concat('Coverage#', o_orderkey),
 UNION ALL SELECT concat('Policy#', c_custkey), concat('Product_Category#', c_mktsegment), 'OWNS' FROM customer
 """
 
+#: Types of each edge type's sources and targets in this graph.
+ENDS = {
+    "HAS_COVERAGE": (("Policy",), ("Coverage",)), "EXCLUDED_IF": (("Coverage",), ("Exclusion",)), "EXCEPTION_ALLOWED": (("Exclusion",), ("Exception",)),
+    "GOVERNED_BY": (("Policy",), ("Regulation",)), "STRICTLY_PROHIBITED": (("Regulation",), ("Product_Category",)), "EXCEPTIONALLY_ALLOWED": (("Regulation",), ("Exception",)),
+    "NO_DIVIDEND_STRUCTURE": (("Policy",), ("Dividend_Method",)), "HAS_DISCOUNT": (("Policy",), ("Premium_Discount",)), "SURRENDER_PAYS": (("Policy",), ("Surrender_Value",)),
+    "CALCULATED_BY": (("Coverage", "Premium_Discount"), ("Calculation",)), "HAS_RIDER": (("Policy",), ("Rider",)), "REQUIRES_ELIGIBILITY": (("Policy",), ("Eligibility",)),
+    "WAIVES_PREMIUM": (("Policy",), ("Coverage",)), "OWNS": (("Policy",), ("Product_Category",)),
+}
+
 #: Common table expressions ``v`` and ``e`` for the queries' SQL.
 GRAPH_SQL = f"v AS ({VERTICES}), e AS ({EDGES})"
 
@@ -68,7 +81,7 @@ def load(spark: SparkSession, sf_dir: str) -> Graph:
     type is pruned by the optimizer, since each branch's type is a literal.
     """
     frames = tables(spark, sf_dir, *TABLES)
-    return Graph(spark.sql(_bound(VERTICES), **frames), spark.sql(_bound(EDGES), **frames))
+    return Graph(spark.sql(_bound(VERTICES), **frames), spark.sql(_bound(EDGES), **frames), ENDS)
 
 
 def _bound(sql: str) -> str:

@@ -46,7 +46,7 @@ def test_safety(spark):
 
 def test_glossary(spark):
     expand = lambda t: tx.expand_glossary(t, {"종보": "종신보험"}, {"배당금": ["이익배당", "배당"], "종신보험": ["종신", "whole life"]})
-    assert one(spark, "종보 배당금", expand) == "종신보험 배당금 이익배당"
+    assert one(spark, "종보 배당금", expand) == "종신보험 배당금 이익배당 whol"
     assert one(spark, "날씨가 좋습니다", expand) == "날씨가 좋습니다"
 
 

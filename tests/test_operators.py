@@ -1,9 +1,17 @@
 import json
+import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from pathweave.functions import text as tx
+from pathweave.functions.intents import RULES
 from pathweave.operators import integrity, retrieval, subgraph, traversal
+from pathweave.plans.pattern import Expand, compile_pattern, path_text, start
+from pathweave.plans.templates import plan, run_template
 from pathweave.sources import files
+from pathweave.sources.tpch_graph import Graph
 from pathweave.streaming import streams
 
 
@@ -127,3 +135,50 @@ def test_distances_have_no_limit(spark):
     roots = spark.createDataFrame([("q", "0")], "query_id string, id string")
     assert {r.id: r.distance for r in subgraph.distances(e, roots).collect()} == {str(i): i for i in range(8)}
     assert subgraph.distances(e, roots, 2).count() == 3
+
+
+def test_nested_optional_needs_its_first_step(spark):
+    """A coverage without exclusion does not follow an exception edge of its own; a chained optional does."""
+    vertices = spark.createDataFrame([(i, i.split("#")[0], i, "") for i in ("Policy#1", "Coverage#1", "Coverage#2", "Exclusion#1", "Exception#1")], "id string, type string, label string, source_text string")
+    edges = [("Policy#1", "Coverage#1", "HAS_COVERAGE"), ("Policy#1", "Coverage#2", "HAS_COVERAGE"), ("Coverage#1", "Exception#1", "EXCEPTION_ALLOWED"), ("Coverage#2", "Exclusion#1", "EXCLUDED_IF"), ("Exclusion#1", "Exception#1", "EXCEPTION_ALLOWED")]
+    graph = Graph(vertices, spark.createDataFrame(edges, "src string, dst string, type string"))
+    got = {r.p for r in run_template(graph, "coverage_lookup").select(path_text().alias("p")).collect()}
+    assert got == {"Policy#1>HAS_COVERAGE>Coverage#1", "Policy#1>HAS_COVERAGE>Coverage#2>EXCLUDED_IF>Exclusion#1>EXCEPTION_ALLOWED>Exception#1"}
+    chained = compile_pattern(start(graph, F.col("type") == "Policy"), graph, (Expand(("HAS_COVERAGE",)), Expand(("EXCLUDED_IF",), optional=True), Expand(("EXCEPTION_ALLOWED",), optional=True)))
+    assert "Policy#1>HAS_COVERAGE>Coverage#1>EXCEPTION_ALLOWED>Exception#1" in {r.p for r in chained.select(path_text().alias("p")).collect()}
+
+
+def test_comparison_takes_two_policies_and_regulations_both_ways(spark):
+    rows = [("c", "policy_comparison", ["Coverage#1", "Policy#1", "Policy#2", "Policy#1", "Policy#3"], None, None), ("r", "regulation_inquiry", ["Regulation#1", "Policy#1", "Policy#2", "Policy#3", "Policy#4"], None, None), ("n", "nonsense", None, None, None)]
+    got = plan(spark.createDataFrame(rows, "query_id string, intent string, entries array<string>, products array<string>, keyword string")).collect()
+    runs = {q: [(r.template, r.entry) for r in got if r.query_id == q] for q in "crn"}
+    assert runs["c"] == [("comprehensive_lookup", "Policy#1"), ("comprehensive_lookup", "Policy#2")]
+    assert runs["r"] == [("regulation_lookup", f"Policy#{k}") for k in (1, 2, 3)] + [("regulation_reverse_lookup", "Regulation#1")]
+    assert runs["n"] == [("coverage_lookup", "Policy#unknown")]
+
+
+def test_sections_are_split_and_joined_like_a_plain_loop(spark):
+    def plain(text, size):
+        at = [m.start() for m in re.finditer(r"^(?:### |## ■ )", text, re.M)]
+        out, begin = [], 0
+        for i, p in enumerate(at):
+            end = at[i + 1] if i + 1 < len(at) else len(text)
+            if end - begin > size and begin != p:
+                if text[begin:p].strip():
+                    out.append(text[begin:p].strip())
+                begin = p
+        return [*out, text[begin:].strip()] if out else [text]
+
+    rng = random.Random(1)
+    texts = ["", "none", "### a", "### a\n### b\n", *["".join(rng.choice(["### h\n", "## ■ r\n", "word word\n", "x" * 30 + "\n", "\n", " "]) for _ in range(rng.randint(1, 25))) for _ in range(60)]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in frame.select("i", tx.sub_split(F.col("t"), 60).alias("p")).collect():
+        assert r.p == plain(texts[r.i], 60)
+    got = spark.createDataFrame([(["a" * 60, "b" * 60, "c"],), ([],)], "s array<string>").select(tx.within_budget(F.col("s"), 100, 10).alias("o")).collect()
+    assert got[0].o == ["a" * 60, "b" * 40 + "..."] and got[1].o == []
+
+
+def test_glossary_cut_and_three_products(spark):
+    row = spark.createDataFrame([("배당금", "H종신보험 e정기보험 H암보험 알려줘")], "a string, b string")
+    got = row.select(tx.expand_glossary(F.col("a"), {}, {"배당금": ["긴긴긴긴긴긴긴긴긴긴 이름"]}).alias("a"), tx.disambiguate(F.col("b"), F.lit("general"), RULES).alias("b")).first()
+    assert got.a == "배당금 긴긴긴긴긴" and len(got.a) == 9 and got.b == "policy_comparison"
