@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathweave.llm.scratch import save
-from pathweave.llm.words import Words, chunks, mix, utf8
+from pathweave.llm.words import Words, chunks, mix, tidy, utf8
 from pathweave.session import ship_package
 
 SHINGLE = 5
@@ -80,7 +80,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             )
 
     ship_package(docs.sparkSession)
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, signature binary")
+    return _texts(docs).mapInArrow(tidy(run), "doc_id long, n_shingles long, set_digest binary, signature binary")
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def _among(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(len(names))], names)
 
     hashed = frame.where(F.col(column).isNotNull()).select(*names, F.pmod(F.xxhash64(F.col(column)), F.lit(bits)).alias("_at"))
-    return hashed.mapInArrow(run, frame.schema)
+    return hashed.mapInArrow(tidy(run), frame.schema)
 
 
 def _agree(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def _agree(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
             keep = pa.array((sa == sb).sum(axis=1) >= LEAST_AGREEMENT)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(tidy(run), "a long, b long")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, scope: str) -> DataFrame:
@@ -148,10 +148,10 @@ def _links(docs: DataFrame, pairs: DataFrame, scope: str) -> DataFrame:
                 keep.append(both > 0 and 100 * both >= SIMILARITY * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
-    sets = save(_among(_texts(docs), "doc_id", ids).mapInArrow(read, "doc_id long, shingles binary"), "shingles", scope)
+    sets = save(_among(_texts(docs), "doc_id", ids).mapInArrow(tidy(read), "doc_id long, shingles binary"), "shingles", scope)
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-    return joined.mapInArrow(compare, "a long, b long").distinct()
+    return joined.mapInArrow(tidy(compare), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, scope: str = "query") -> DataFrame:
@@ -233,7 +233,7 @@ def _cross_links(docs: DataFrame, shared: DataFrame, labels: DataFrame, reps: Da
             digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["set_digest", "shingles"])
 
-    sets = _among(_texts(docs), "doc_id", ids).mapInArrow(read, "set_digest binary, shingles binary")
+    sets = _among(_texts(docs), "doc_id", ids).mapInArrow(tidy(read), "set_digest binary, shingles binary")
     sets = sets.groupBy("set_digest").agg(F.first("shingles").alias("shingles"))
     sets = save(sets.join(reps, "set_digest").select("rep", F.col("n_shingles").cast("int").alias("n_shingles"), "signature", "shingles"), "open-sets", scope)
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -264,7 +264,7 @@ def _cross_links(docs: DataFrame, shared: DataFrame, labels: DataFrame, reps: Da
             if found[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], ["a", "b"])
 
-    return dealt.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j").mapInArrow(compare, "a long, b long")
+    return dealt.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j").mapInArrow(tidy(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, scope: str = "query") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathweave.llm.scratch import save
-from pathweave.llm.words import Words, chunks, utf8
+from pathweave.llm.words import Words, chunks, tidy, utf8
 from pathweave.session import ship_package
 
 SEQUENCE = 2048
@@ -130,7 +130,7 @@ def tokenize_pieces(docs: DataFrame, path: str | None = None, length: int = SEQU
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
 
     ship_package(source.sparkSession)
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def plan_bins(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[dict[int, int], int]]:
@@ -234,7 +234,7 @@ def place_pieces(pieces: DataFrame, size: int = SEQUENCE, scope: str = "query")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(slots["offset"][at])], [*names, "sequence_id", "offset"])
 
     ship_package(ranked.sparkSession)
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(tidy(run), schema)
 
 
 def with_crc(pieces: DataFrame) -> DataFrame:

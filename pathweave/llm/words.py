@@ -7,7 +7,8 @@ probability near 2**-58.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,24 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return the memory that a batch needed to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function, with its memory given back when a task's batches end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The rows in pieces of about :data:`CHUNK_BYTES` of text; null texts become empty."""
     for batch in batches:
@@ -69,6 +88,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             end = max(start + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES, side="right")))
             yield batch.slice(start, end - start)
             start = end
+        del batch, column
+        give_back()
 
 
 class Words:
