@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,16 +89,21 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("rep", F.col("n_shingles").cast("int").alias("n_shingles"), F.posexplode(F.array(*keys)).alias("band", "key"))
 
 
-def _among(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+Batches = Iterator[pa.RecordBatch]
+
+
+def _among(frame: DataFrame, column: str, ids: DataFrame, then: Callable[[Batches], Batches] | None = None, schema: str = "") -> DataFrame:
     """The rows of ``frame`` whose ``column`` is in ``ids`` (``id``), and maybe a few others.
 
     A bitmap of hashed ids of ``MAX_BITS`` bits at most drops most other rows before they are
-    shuffled; if there are too many ids for it, the rows are semi-joined.
+    shuffled; if there are too many ids for it, the rows are semi-joined.  ``then`` maps the
+    kept batches to ``schema`` in the same worker: a step of its own would take a second one.
     """
     n = ids.count()
     bits = 1 << max(16, (16 * n).bit_length())
     if bits > MAX_BITS:
-        return frame.join(ids.withColumnRenamed("id", column), column, "left_semi").select(frame.columns)
+        kept = frame.join(ids.withColumnRenamed("id", column), column, "left_semi").select(frame.columns)
+        return kept if then is None else kept.mapInArrow(tidy(then), schema)
     place = F.pmod(F.xxhash64(F.col("id")), F.lit(bits))
     words = ids.select(place.alias("at")).selectExpr("at div 64 AS w", "shiftleft(1L, int(at % 64)) AS b")
     found = words.groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
@@ -106,14 +111,17 @@ def _among(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     bitmap[found.column("w").to_numpy()] = found.column("b").to_numpy()
     names = frame.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Batches) -> Batches:
         for batch in batches:
             at = batch.column(len(names)).to_numpy()
             keep = pa.array((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(len(names))], names)
 
+    def run(batches: Batches) -> Batches:
+        return kept(batches) if then is None else then(kept(batches))
+
     hashed = frame.where(F.col(column).isNotNull()).select(*names, F.pmod(F.xxhash64(F.col(column)), F.lit(bits)).alias("_at"))
-    return hashed.mapInArrow(tidy(run), frame.schema)
+    return hashed.mapInArrow(tidy(run), schema or frame.schema)
 
 
 def _agree(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -148,7 +156,7 @@ def _links(docs: DataFrame, pairs: DataFrame, scope: str) -> DataFrame:
                 keep.append(both > 0 and 100 * both >= SIMILARITY * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
-    sets = save(_among(_texts(docs), "doc_id", ids).mapInArrow(tidy(read), "doc_id long, shingles binary"), "shingles", scope)
+    sets = save(_among(_texts(docs), "doc_id", ids, read, "doc_id long, shingles binary"), "shingles", scope)
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
     return joined.mapInArrow(tidy(compare), "a long, b long").distinct()
@@ -233,7 +241,7 @@ def _cross_links(docs: DataFrame, shared: DataFrame, labels: DataFrame, reps: Da
             digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["set_digest", "shingles"])
 
-    sets = _among(_texts(docs), "doc_id", ids).mapInArrow(tidy(read), "set_digest binary, shingles binary")
+    sets = _among(_texts(docs), "doc_id", ids, read, "set_digest binary, shingles binary")
     sets = sets.groupBy("set_digest").agg(F.first("shingles").alias("shingles"))
     sets = save(sets.join(reps, "set_digest").select("rep", F.col("n_shingles").cast("int").alias("n_shingles"), "signature", "shingles"), "open-sets", scope)
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
