@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathweave.llm.scratch import save
-from pathweave.llm.words import Words, chunks, utf8
+from pathweave.llm.words import Words, chunks, reusing, utf8
 from pathweave.session import ship_package
 
 #: Words in the vocabulary, words in a class, and units of the network.
@@ -87,7 +87,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
             yield batch_of(*merged())
 
     ship_package(docs.sparkSession)
-    parts = _source(docs).mapInArrow(run, "hash long, total long, train long")
+    parts = _source(docs).mapInArrow(reusing(run), "hash long, total long, train long")
     return parts.groupBy("hash").agg(F.sum("total").alias("total"), F.sum("train").alias("train"))
 
 
@@ -131,84 +131,106 @@ class Network:
         new = np.tanh(x[:, 2 * k :] + gates[:, k:] * rec[:, 2 * k :])
         return new + gates[:, :k] * (h - new), gates, new, rec
 
-    def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the targets' probabilities after states ``h``."""
-        logits = h @ self.p["c"] + self.p["d"]
-        group = target // CLASS
+    def by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The targets' classes, the order that sorts them, and where each class starts in it."""
+        group = (target // CLASS).astype(np.uint16)
         group[target == self.size] = self.classes
-        top = logits.max(axis=1)
-        out = logits[np.arange(len(h)), group] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
         order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            rows = order[bounds[k] : bounds[k + 1]]
-            if len(rows):
-                z = h[rows] @ self.p["w"][k] + (self.p["b"][k] + self.void[k])
-                top = z.max(axis=1)
-                out[rows] += z[np.arange(len(rows)), target[rows] - k * CLASS] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+        group = group[order]
+        return group.astype(np.int64), order, np.searchsorted(group, np.arange(self.classes + 1))
+
+    def words_of(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Scores of the words in each state's class, less the largest; states are sorted by class."""
+        z = np.empty((bounds[-1], CLASS), dtype=h.dtype)
+        bias = self.p["b"] + self.void
+        for i in range(self.classes):
+            if bounds[i] < bounds[i + 1]:
+                part = z[bounds[i] : bounds[i + 1]]
+                np.matmul(h[bounds[i] : bounds[i + 1]], self.p["w"][i], out=part)
+                part += bias[i]
+        z -= z.max(axis=1, keepdims=True)
+        return z
+
+    def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the targets' probabilities after states ``h``."""
+        group, order, bounds = self.by_class(target)
+        h, m = h[order], bounds[-1]
+        logits = h @ self.p["c"]
+        logits += self.p["d"]
+        logits -= logits.max(axis=1, keepdims=True)
+        found = logits[np.arange(len(h)), group] - np.log(np.exp(logits, out=logits).sum(axis=1))
+        z = self.words_of(h, bounds)
+        at = target[order[:m]] - group[:m] * CLASS
+        found[:m] += z[np.arange(m), at] - np.log(np.exp(z, out=z).sum(axis=1))
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def gradients(self, ids: np.ndarray, target: np.ndarray, reset: np.ndarray, h: np.ndarray, live: np.ndarray | None = None) -> tuple[float, dict, np.ndarray]:
         """Loss (nats a token), gradients and last state of a window (steps x streams); of ``e`` for
         its ``rows`` only.  Places that are not ``live`` lie behind a stream's end."""
         p, k, (steps, streams) = self.p, self.units, ids.shape
-        before, tape, states = [], [], []
+        kind = np.result_type(h, p["u"])
+        carried = (~reset).astype(kind)[:, :, None]
+        before, states = np.empty((2, steps, streams, k), dtype=kind)
+        tape = []
         for t in range(steps):
-            h = np.where(reset[t][:, None], np.float32(0), h)
-            before.append(h)
-            h, gates, new, rec = self.step(p["e"][ids[t]], h)
-            tape.append((gates, new, rec))
-            states.append(h)
-        flat, want = np.concatenate(states), target.reshape(-1)
-        there = slice(None) if live is None or live.all() else np.flatnonzero(live.reshape(-1))
+            np.multiply(h, carried[t], out=before[t])
+            states[t], *kept = self.step(p["e"][ids[t]], before[t])
+            tape.append(kept)
+            h = states[t]
+        flat, want = states.reshape(-1, k), target.reshape(-1)
+        there = np.arange(len(want)) if live is None or live.all() else np.flatnonzero(live.reshape(-1))
+        n = len(there)
+        # all that follows is in the order of the targets' classes
+        group, order, bounds = self.by_class(want[there])
+        there, m = there[order], bounds[-1]
         flat, want = flat[there], want[there]
-        n = len(want)
-        g = {"u": np.zeros_like(p["u"]), "w": np.zeros_like(p["w"]), "b": np.zeros_like(p["b"])}
-        group = want // CLASS
-        group[want == self.size] = self.classes
-        logits = flat @ p["c"] + p["d"]
-        logits -= logits.max(axis=1, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(axis=1, keepdims=True)
-        loss = -np.log(prob[np.arange(n), group]).sum()
-        prob[np.arange(n), group] -= 1
-        prob /= n
+        g = {"w": np.zeros_like(p["w"]), "b": np.zeros_like(p["b"])}
+        prob = flat @ p["c"]
+        prob += p["d"]
+        prob -= prob.max(axis=1, keepdims=True)
+        np.exp(prob, out=prob)
+        mass = prob.sum(axis=1, keepdims=True)
+        place = np.arange(n)
+        loss = np.log(mass[:, 0]).sum() - np.log(prob[place, group] + 1e-30).sum()
+        prob *= 1 / (n * mass)
+        prob[place, group] -= 1 / n
         g["c"], g["d"] = flat.T @ prob, prob.sum(axis=0)
         back = prob @ p["c"].T
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(self.classes + 1))
+        q = self.words_of(flat, bounds)
+        at = want[:m] - group[:m] * CLASS
+        np.exp(q, out=q)
+        mass = q.sum(axis=1, keepdims=True)
+        loss += np.log(mass[:, 0]).sum() - np.log(q[place[:m], at] + 1e-30).sum()
+        q *= 1 / (n * mass)
+        q[place[:m], at] -= 1 / n
         for i in range(self.classes):
-            rows = order[bounds[i] : bounds[i + 1]]
-            if not len(rows):
-                continue
-            z = flat[rows] @ p["w"][i] + (p["b"][i] + self.void[i])
-            z -= z.max(axis=1, keepdims=True)
-            q = np.exp(z)
-            q /= q.sum(axis=1, keepdims=True)
-            at = want[rows] - i * CLASS
-            loss -= np.log(q[np.arange(len(rows)), at] + 1e-30).sum()
-            q[np.arange(len(rows)), at] -= 1
-            q /= n
-            g["w"][i], g["b"][i] = flat[rows].T @ q, q.sum(axis=0)
-            back[rows] += q @ p["w"][i].T
-        whole = np.zeros((steps * streams, k), dtype=back.dtype)
+            if bounds[i] < bounds[i + 1]:
+                rows = slice(bounds[i], bounds[i + 1])
+                np.matmul(flat[rows].T, q[rows], out=g["w"][i])
+                q[rows].sum(axis=0, out=g["b"][i])
+                back[rows] += q[rows] @ p["w"][i].T
+        whole = np.zeros((steps * streams, k), dtype=kind)
         whole[there] = back
         back = whole.reshape(steps, streams, k)
-        carry = np.zeros((streams, k), dtype=np.float32)
-        xs = np.zeros((steps, streams, 3 * k), dtype=np.float32)
+        carry = np.zeros((streams, k), dtype=kind)
+        xs, recs = np.empty((2, steps, streams, 3 * k), dtype=kind)
         for t in range(steps - 1, -1, -1):
-            dh = back[t] + carry
             gates, new, rec = tape[t]
-            update, keep, prev = gates[:, :k], gates[:, k:], before[t]
-            dn = dh * (1 - update) * (1 - new * new)
-            du = dh * (prev - new) * update * (1 - update)
-            dr = dn * rec[:, 2 * k :] * keep * (1 - keep)
-            xs[t] = np.hstack([du, dr, dn])
-            drec = np.hstack([du, dr, dn * keep])
-            g["u"] += prev.T @ drec
-            carry = np.where(reset[t][:, None], np.float32(0), dh * update + drec @ p["u"].T)
+            update, keep = gates[:, :k], gates[:, k:]
+            dh = back[t] + carry
+            slope = gates * (1 - gates)
+            du, dr, dn = xs[t, :, :k], xs[t, :, k : 2 * k], xs[t, :, 2 * k :]
+            np.multiply(dh * (1 - update), 1 - new * new, out=dn)
+            np.multiply(dh * (before[t] - new), slope[:, :k], out=du)
+            np.multiply(dn * rec[:, 2 * k :], slope[:, k:], out=dr)
+            recs[t, :, : 2 * k] = xs[t, :, : 2 * k]
+            np.multiply(dn, keep, out=recs[t, :, 2 * k :])
+            carry = (dh * update + recs[t] @ p["u"].T) * carried[t]
+        g["u"] = before.reshape(-1, k).T @ recs.reshape(-1, 3 * k)
         rows = ids.reshape(-1)
-        by = np.argsort(rows, kind="stable")
+        by = np.argsort(rows.astype(np.uint16) if self.size < 1 << 16 else rows, kind="stable")
         first = np.flatnonzero(np.diff(rows[by], prepend=-1))
         g["e"] = np.add.reduceat(xs.reshape(-1, 3 * k)[by], first, axis=0)
         g["rows"] = rows[by[first]]
@@ -244,7 +266,7 @@ class Network:
         for name, v in g.items():
             # input words that the window doesn't have stay as they are
             at = rows if name == "e" else slice(None)
-            v = v.astype(np.float32) * scale
+            v = v * scale if v.dtype == np.float32 else v.astype(np.float32) * scale
             m, s = (x[at] for x in self.moments[name])
             m += np.float32(0.1) * (v - m)
             s += np.float32(0.01) * (v * v - s)
@@ -378,7 +400,7 @@ def encode(docs: DataFrame, lookup: Lookup, log_z: float, log_other: float) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "held_out", "n_tokens", "n_known", "base", "extra", "rare", "ids"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, extra double, rare array<struct<hash:long,n:long>>, ids binary"
-    return _source(docs).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+    return _source(docs).mapInArrow(reusing(run), schema).withColumn("row", F.monotonically_increasing_id())
 
 
 def _groups(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.RecordBatch]:
@@ -430,7 +452,7 @@ def train(encoded: DataFrame, net: Network, end: int) -> int:
                 yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([tokens] * PIECES, pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in flat], pa.binary())], ["piece", "n", "weights"])
 
         lessons = encoded.where(~F.col("held_out") & (shard == turn)).select("ids")
-        parts = lessons.mapInArrow(run, "piece int, n long, weights binary").repartition(PIECES, "piece")
+        parts = lessons.mapInArrow(reusing(run), "piece int, n long, weights binary").repartition(PIECES, "piece")
         found = sorted(parts.mapInArrow(average, "piece int, n long, weights binary").collect())
         if found:
             flat, at = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in found]), 0
@@ -486,7 +508,7 @@ def score_likelihood(docs: DataFrame, scope: str = "query") -> DataFrame:
             score = pa.array(logs + group.column("extra").to_numpy())
             yield pa.RecordBatch.from_arrays([*kept, score], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
-    rows = encoded.drop("rare").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    rows = encoded.drop("rare").mapInArrow(reusing(run), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     pairs = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.hash", "r.n")
     uncommon = counts.where((F.col("total") < least) & (F.col("train") > 0)).select("hash", "train")
     sums = pairs.join(uncommon, "hash").groupBy("row").agg(

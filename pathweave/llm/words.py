@@ -73,6 +73,28 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return tidied
 
 
+#: glibc's numbers for mallopt: the free memory that is kept, the size from which an array is mapped.
+_TRIM, _MMAP = -1, -3
+
+
+def reusing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function, with freed arrays' memory kept for the next ones until a task's batches end.
+
+    Otherwise each array of some MB is mapped, faulted in page by page and unmapped again.
+    """
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mallopt = getattr(ctypes.CDLL(None), "mallopt", lambda *_: 0)
+        mallopt(_MMAP, 32 << 20)
+        mallopt(_TRIM, 256 << 20)
+        yield from run(batches)
+        mallopt(_MMAP, 128 << 10)
+        mallopt(_TRIM, 128 << 10)
+        give_back()
+
+    return kept
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The rows in pieces of about :data:`CHUNK_BYTES` of text; null texts become empty."""
     for batch in batches:
