@@ -154,7 +154,7 @@ _SCENARIOS = "r AS (SELECT o_orderkey AS k, o_orderpriority AS category, o_order
 
 def _scenarios(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     o = _read(spark, sf_dir, "orders")
-    runs = o.select(F.col("o_orderkey").alias("scenario_id"), F.col("o_orderpriority").alias("category"), (F.col("o_orderkey") % 50 == 0).alias("error"), F.round("o_totalprice").cast("long").alias("elapsed_ms"))
+    runs = o.select(F.col("o_orderkey").alias("scenario_id"), F.col("o_orderpriority").alias("category"), (F.col("o_orderkey") % 50 == 0).alias("error"), F.rint("o_totalprice").cast("long").alias("elapsed_ms"))
     status = F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 3 == 0), "FAIL").otherwise("PARTIAL")
     one = o.select(F.col("o_orderkey").alias("scenario_id"), F.lit("intent").alias("dimension"), status.alias("status"))
     return runs, one.unionAll(one.withColumn("dimension", F.lit("answer")).withColumn("status", F.lit("PASS")))
