@@ -32,11 +32,18 @@ FREQUENT = 1 << 21
 ROUNDS = 4
 #: Streams and window of training, and of scoring; with fewer streams windows are longer.
 TRAIN_STREAMS, TRAIN_WINDOW = 384, 20
-STREAMS, WINDOW = 256, 48
-#: A worker trains on, and scores, the documents of about so many tokens together.
-TRAIN_GROUP, GROUP_TOKENS = 600_000, 1_500_000
+STREAMS, WINDOW = 512, 24
+#: A task of a round of training has about so many tokens; a worker trains on, and scores, the
+#: documents of at most about so many together.
+TASK_TOKENS, TRAIN_GROUP, GROUP_TOKENS = 3_000_000, 5_000_000, 5_000_000
 #: Pieces in which the weights are averaged.
 PIECES = 32
+#: Tokens whose classes' scores are worked on together, so that they stay in a core's cache.
+BLOCK = 1024
+#: Scores whose exponentials need no scaling.
+SMALL = 40.0
+#: An input word that a window has so often is summed up by itself.
+LARGE = 24
 
 #: The end of a document among word hashes.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -91,8 +98,27 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("hash").agg(F.sum("total").alias("total"), F.sum("train").alias("train"))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def row_sums(values: np.ndarray, by: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums (layers x groups x k) of the rows of ``values`` (layers x rows x k): group j has the
+    rows ``by[first[j]:first[j + 1]]``.
+
+    Large groups are summed one by one, small ones together: their first rows, second rows, ...
+    """
+    sizes = np.diff(np.append(first, len(by)))
+    order = np.argsort(-sizes, kind="stable")
+    large = int(np.searchsorted(-sizes[order], -LARGE, side="right"))
+    start, left = first[order], -sizes[order]
+    out = np.empty((len(values), len(first), values.shape[2]), dtype=values.dtype)
+    ones = np.ones(-left[0] if len(left) else 0, dtype=values.dtype)
+    for j in range(large):
+        out[:, j] = ones[: -left[j]] @ values.take(by[start[j] : start[j] - left[j]], axis=1)
+    out[:, large:] = values.take(by[start[large:]], axis=1)
+    for i in range(1, -left[large] if large < len(left) else 0):
+        stop = int(np.searchsorted(left, -i, side="left"))
+        out[:, large:stop] += values.take(by[start[large:stop] + i], axis=1)
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return out.take(back, axis=1)
 
 
 class Network:
@@ -105,7 +131,7 @@ class Network:
 
     def __init__(self, counts: np.ndarray, other: float, units: int = UNITS, seed: int = 1):
         rng = np.random.RandomState(seed)
-        self.size, self.units = len(counts), units
+        self.size, self.units, self.tokens = len(counts), units, int(counts.sum() + other)
         self.moments: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.turn = 0
         self.classes = -(-self.size // CLASS)
@@ -124,12 +150,32 @@ class Network:
         self.void = np.zeros((self.classes, CLASS), dtype=np.float32)
         self.void.reshape(-1)[self.size :] = -1e9
 
+    def by_gate(self, rows: np.ndarray) -> np.ndarray:
+        """Rows of ``e`` or ``u`` as 3 x rows x units, each gate's values side by side; those of
+        the two gates halved, as a sigmoid is a hyperbolic tangent of the half."""
+        out = np.ascontiguousarray(rows.reshape(len(rows), 3, self.units).transpose(1, 0, 2))
+        out[:2] *= 0.5
+        return out
+
+    def cell(self, x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The state after ``h``, the gates, the candidate, and the candidate's part from ``h``;
+        ``x`` and ``u`` are :meth:`by_gate`."""
+        rec = h @ u
+        gates = rec[:2]
+        gates += x[:2]
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        new = gates[1] * rec[2]
+        new += x[2]
+        np.tanh(new, out=new)
+        state = h - new
+        state *= gates[0]
+        state += new
+        return state, gates, new, rec[2]
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        k = self.units
-        rec = h @ self.p["u"]
-        gates = _sigmoid(x[:, : 2 * k] + rec[:, : 2 * k])
-        new = np.tanh(x[:, 2 * k :] + gates[:, k:] * rec[:, 2 * k :])
-        return new + gates[:, :k] * (h - new), gates, new, rec
+        return self.cell(self.by_gate(x), h, self.by_gate(self.p["u"]))
 
     def by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The targets' classes, the order that sorts them, and where each class starts in it."""
@@ -139,44 +185,84 @@ class Network:
         group = group[order]
         return group.astype(np.int64), order, np.searchsorted(group, np.arange(self.classes + 1))
 
-    def words_of(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Scores of the words in each state's class, less the largest; states are sorted by class."""
+    def biases(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Biases of classes and words, less the largest, and whether scores stay so small that
+        exponentials of them can be summed as they are: states are from -1 to 1."""
+        most = max(float(np.abs(self.p["c"]).sum(axis=0).max()), float(np.abs(self.p["w"]).sum(axis=1).max(initial=0)))
+        words = self.p["b"] + self.void
+        return self.p["d"] - self.p["d"].max(), words - words.max(axis=1, keepdims=True), most < SMALL
+
+    def words_of(self, h: np.ndarray, bounds: np.ndarray, bias: np.ndarray, small: bool) -> np.ndarray:
+        """Scores of the words in each state's class; states are sorted by class."""
         z = np.empty((bounds[-1], CLASS), dtype=h.dtype)
-        bias = self.p["b"] + self.void
         for i in range(self.classes):
             if bounds[i] < bounds[i + 1]:
                 part = z[bounds[i] : bounds[i + 1]]
                 np.matmul(h[bounds[i] : bounds[i + 1]], self.p["w"][i], out=part)
                 part += bias[i]
-        z -= z.max(axis=1, keepdims=True)
+        if not small:
+            z -= z.max(axis=1, keepdims=True)
+        return z
+
+    def classes_of(self, h: np.ndarray, bias: np.ndarray, small: bool) -> np.ndarray:
+        """Scores of the classes after states ``h``."""
+        z = h @ self.p["c"]
+        z += bias
+        if not small:
+            z -= z.max(axis=1, keepdims=True)
         return z
 
     def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms of the targets' probabilities after states ``h``."""
         group, order, bounds = self.by_class(target)
-        h, m = h[order], bounds[-1]
-        logits = h @ self.p["c"]
-        logits += self.p["d"]
-        logits -= logits.max(axis=1, keepdims=True)
-        found = logits[np.arange(len(h)), group] - np.log(np.exp(logits, out=logits).sum(axis=1))
-        z = self.words_of(h, bounds)
+        h, m = h.take(order, axis=0), bounds[-1]
+        d, b, small = self.biases()
+        found = np.empty(len(h), dtype=h.dtype)
+        for start in range(0, len(h), BLOCK):
+            rows = slice(start, start + BLOCK)
+            z = self.classes_of(h[rows], d, small)
+            found[rows] = z[np.arange(len(z)), group[rows]]
+            found[rows] -= np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
+        z = self.words_of(h, bounds, b, small)
         at = target[order[:m]] - group[:m] * CLASS
-        found[:m] += z[np.arange(m), at] - np.log(np.exp(z, out=z).sum(axis=1))
+        found[:m] += z[np.arange(m), at]
+        found[:m] -= np.log(np.exp(z, out=z) @ np.ones(CLASS, z.dtype))
         out = np.empty_like(found)
         out[order] = found
         return out
 
+    @staticmethod
+    def _errors(z: np.ndarray, want: np.ndarray, n: int) -> float:
+        """Make scores the gradients of the mean loss of ``n`` tokens; returns the loss of these."""
+        place = np.arange(len(z))
+        np.exp(z, out=z)
+        mass = z @ np.ones(z.shape[1], dtype=z.dtype)
+        loss = float(np.log(mass).sum() - np.log(z[place, want] + 1e-30).sum())
+        z[place, want] -= mass
+        z *= (1 / (n * mass))[:, None]
+        return loss
+
     def gradients(self, ids: np.ndarray, target: np.ndarray, reset: np.ndarray, h: np.ndarray, live: np.ndarray | None = None) -> tuple[float, dict, np.ndarray]:
         """Loss (nats a token), gradients and last state of a window (steps x streams); of ``e`` for
         its ``rows`` only.  Places that are not ``live`` lie behind a stream's end."""
         p, k, (steps, streams) = self.p, self.units, ids.shape
         kind = np.result_type(h, p["u"])
-        carried = (~reset).astype(kind)[:, :, None]
+        # the window's input words, each once
+        rows = ids.reshape(-1)
+        by = np.argsort(rows.astype(np.uint16) if self.size < 1 << 16 else rows, kind="stable")
+        first = np.flatnonzero(np.diff(rows[by], prepend=-1))
+        at = np.empty_like(by)
+        at[by] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(by))))
+        rows = rows[by[first]]
+        x = self.by_gate(p["e"].take(rows, axis=0)).take(at, axis=1).reshape(3, steps, streams, k)
+        u = self.by_gate(p["u"])
+        starts = [np.flatnonzero(r) for r in reset]
         before, states = np.empty((2, steps, streams, k), dtype=kind)
         tape = []
         for t in range(steps):
-            np.multiply(h, carried[t], out=before[t])
-            states[t], *kept = self.step(p["e"][ids[t]], before[t])
+            before[t] = h
+            before[t, starts[t]] = 0
+            states[t], *kept = self.cell(x[:, t], before[t], u)
             tape.append(kept)
             h = states[t]
         flat, want = states.reshape(-1, k), target.reshape(-1)
@@ -185,55 +271,61 @@ class Network:
         # all that follows is in the order of the targets' classes
         group, order, bounds = self.by_class(want[there])
         there, m = there[order], bounds[-1]
-        flat, want = flat[there], want[there]
-        g = {"w": np.zeros_like(p["w"]), "b": np.zeros_like(p["b"])}
-        prob = flat @ p["c"]
-        prob += p["d"]
-        prob -= prob.max(axis=1, keepdims=True)
-        np.exp(prob, out=prob)
-        mass = prob.sum(axis=1, keepdims=True)
-        place = np.arange(n)
-        loss = np.log(mass[:, 0]).sum() - np.log(prob[place, group] + 1e-30).sum()
-        prob *= 1 / (n * mass)
-        prob[place, group] -= 1 / n
-        g["c"], g["d"] = flat.T @ prob, prob.sum(axis=0)
-        back = prob @ p["c"].T
-        q = self.words_of(flat, bounds)
-        at = want[:m] - group[:m] * CLASS
-        np.exp(q, out=q)
-        mass = q.sum(axis=1, keepdims=True)
-        loss += np.log(mass[:, 0]).sum() - np.log(q[place[:m], at] + 1e-30).sum()
-        q *= 1 / (n * mass)
-        q[place[:m], at] -= 1 / n
+        flat, want = flat.take(there, axis=0), want[there]
+        d, b, small = self.biases()
+        g = {"w": np.zeros_like(p["w"]), "b": np.zeros_like(p["b"]), "c": np.zeros_like(p["c"]), "d": np.zeros_like(p["d"])}
+        back, loss = np.empty_like(flat), 0.0
+        for start in range(0, n, BLOCK):
+            part = slice(start, start + BLOCK)
+            z = self.classes_of(flat[part], d, small)
+            loss += self._errors(z, group[part], n)
+            g["c"] += flat[part].T @ z
+            g["d"] += np.ones(len(z), kind) @ z
+            np.matmul(z, p["c"].T, out=back[part])
+        z = self.words_of(flat, bounds, b, small)
+        loss += self._errors(z, want[:m] - group[:m] * CLASS, n)
+        ones = np.ones(m, dtype=kind)
         for i in range(self.classes):
             if bounds[i] < bounds[i + 1]:
-                rows = slice(bounds[i], bounds[i + 1])
-                np.matmul(flat[rows].T, q[rows], out=g["w"][i])
-                q[rows].sum(axis=0, out=g["b"][i])
-                back[rows] += q[rows] @ p["w"][i].T
+                part = slice(bounds[i], bounds[i + 1])
+                np.matmul(flat[part].T, z[part], out=g["w"][i])
+                np.matmul(ones[part], z[part], out=g["b"][i])
+                back[part] += z[part] @ p["w"][i].T
         whole = np.zeros((steps * streams, k), dtype=kind)
         whole[there] = back
-        back = whole.reshape(steps, streams, k)
+        whole = whole.reshape(steps, streams, k)
+        # gradients of what goes into the gates and the candidate; x is free now
+        dx, dr = x, np.empty((steps, streams, k), dtype=kind)
+        ut = np.ascontiguousarray(p["u"].reshape(k, 3, k).transpose(1, 2, 0))
         carry = np.zeros((streams, k), dtype=kind)
-        xs, recs = np.empty((2, steps, streams, 3 * k), dtype=kind)
         for t in range(steps - 1, -1, -1):
-            gates, new, rec = tape[t]
-            update, keep = gates[:, :k], gates[:, k:]
-            dh = back[t] + carry
-            slope = gates * (1 - gates)
-            du, dr, dn = xs[t, :, :k], xs[t, :, k : 2 * k], xs[t, :, 2 * k :]
-            np.multiply(dh * (1 - update), 1 - new * new, out=dn)
-            np.multiply(dh * (before[t] - new), slope[:, :k], out=du)
-            np.multiply(dn * rec[:, 2 * k :], slope[:, k:], out=dr)
-            recs[t, :, : 2 * k] = xs[t, :, : 2 * k]
-            np.multiply(dn, keep, out=recs[t, :, 2 * k :])
-            carry = (dh * update + recs[t] @ p["u"].T) * carried[t]
-        g["u"] = before.reshape(-1, k).T @ recs.reshape(-1, 3 * k)
-        rows = ids.reshape(-1)
-        by = np.argsort(rows.astype(np.uint16) if self.size < 1 << 16 else rows, kind="stable")
-        first = np.flatnonzero(np.diff(rows[by], prepend=-1))
-        g["e"] = np.add.reduceat(xs.reshape(-1, 3 * k)[by], first, axis=0)
-        g["rows"] = rows[by[first]]
+            (update, keep), new, rec = tape[t]
+            dh, (du, dk, dn) = whole[t], dx[:, t]
+            dh += carry
+            rest = 1 - update
+            np.multiply(new, new, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= rest
+            dn *= dh
+            rest *= update
+            np.subtract(before[t], new, out=du)
+            du *= dh
+            du *= rest
+            np.subtract(1, keep, out=dk)
+            dk *= keep
+            dk *= rec
+            dk *= dn
+            np.multiply(dn, keep, out=dr[t])
+            carry = dh
+            carry *= update
+            carry += du @ ut[0]
+            carry += dk @ ut[1]
+            carry += dr[t] @ ut[2]
+            carry[starts[t]] = 0
+        left = before.reshape(-1, k).T
+        g["u"] = np.concatenate([left @ dx[0].reshape(-1, k), left @ dx[1].reshape(-1, k), left @ dr.reshape(-1, k)], axis=1)
+        g["e"] = row_sums(dx.reshape(3, -1, k), by, first).transpose(1, 0, 2).reshape(-1, 3 * k)
+        g["rows"] = rows
         return loss / n, g, h
 
     def fit(self, documents: list[np.ndarray], end: int, rate: float = 0.01) -> tuple[int, list[float]]:
@@ -262,19 +354,28 @@ class Network:
         self.turn += 1
         rows = g.pop("rows")
         norm = np.sqrt(sum(float(np.vdot(v, v)) for v in g.values()))
-        scale, rate = np.float32(min(1.0, 1.0 / (norm + 1e-9))), np.float32(rate * min(1.0, self.turn / 10))
+        scale, rate = min(1.0, 1.0 / (norm + 1e-9)), rate * min(1.0, self.turn / 10)
+        # moments start at 0; the roots are of the second one over this
+        full = np.sqrt(1 - 0.99**self.turn)
         for name, v in g.items():
             # input words that the window doesn't have stay as they are
-            at = rows if name == "e" else slice(None)
-            v = v * scale if v.dtype == np.float32 else v.astype(np.float32) * scale
-            m, s = (x[at] for x in self.moments[name])
-            m += np.float32(0.1) * (v - m)
-            s += np.float32(0.01) * (v * v - s)
+            v = v.astype(np.float32, copy=False)
+            m, s = (x[rows] if name == "e" else x for x in self.moments[name])
+            m *= np.float32(0.9)
+            m += v * np.float32(0.1 * scale)
+            v *= v
+            v *= np.float32(0.01 * scale * scale)
+            s *= np.float32(0.99)
+            s += v
+            np.sqrt(s, out=v)
+            v += np.float32(1e-6 * full)
+            np.divide(m, v, out=v)
+            v *= np.float32(rate * full / (1 - 0.9**self.turn))
             if name == "e":
-                self.moments[name][0][at], self.moments[name][1][at] = m, s
-            step = m * np.float32(rate / (1 - 0.9**self.turn))
-            step /= np.sqrt(s * np.float32(1 / (1 - 0.99**self.turn))) + np.float32(1e-6)
-            self.p[name][at] -= step
+                self.moments[name][0][rows], self.moments[name][1][rows] = m, s
+                self.p[name][rows] -= v
+            else:
+                self.p[name] -= v
 
     def __getstate__(self) -> dict:
         """What workers get: no moments."""
@@ -329,16 +430,15 @@ def score_documents(net: Network, documents: list[np.ndarray], end: int) -> np.n
     if not documents:
         return total
     flow = Streams(documents, end, STREAMS)
-    table, h = net.p["e"], np.zeros((len(flow.length), net.units), dtype=np.float32)
+    table, u, h = net.by_gate(net.p["e"]), net.by_gate(net.p["u"]), np.zeros((len(flow.length), net.units), dtype=np.float32)
     for place, live in flow.windows(WINDOW, STREAMS * WINDOW // 4):
         states = []
         count = live.sum(axis=1)
         for t, n in enumerate(count):
             now = place[t, :n]
-            if flow.reset[now].any():
-                h[:n][flow.reset[now]] = 0
-            h[:n] = net.step(table[flow.ids[now]], h[:n])[0]
-            states.append(h[:n].copy())
+            h[:n][flow.reset[now]] = 0
+            states.append(net.cell(table.take(flow.ids[now], axis=1), h[:n], u)[0])
+            h[:n] = states[-1]
         now = place[live]
         total += np.bincount(flow.document[now], net.log_probabilities(np.concatenate(states), flow.target[now]), len(documents))
     return total
@@ -355,11 +455,11 @@ class Lookup:
         self.other = len(vocabulary)
 
     def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token its id, its training count, and whether it is frequent."""
+        """For each token its id, the log10 of its training count and one, and whether it is frequent."""
         uniq, inverse = np.unique(tokens, return_inverse=True)
         at = np.minimum(np.searchsorted(self.hash, uniq), len(self.hash) - 1)
         known = self.hash[at] == uniq
-        return np.where(known, self.id[at], self.other)[inverse], np.where(known, self.train[at], 0)[inverse], known[inverse]
+        return np.where(known, self.id[at], self.other)[inverse], np.log10(np.where(known, self.train[at], 0) + 1.0)[inverse], known[inverse]
 
 
 def _per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -377,26 +477,22 @@ def encode(docs: DataFrame, lookup: Lookup, log_z: float, log_other: float) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             tokens, first = with_ends(Words(*utf8(batch.column(2))))
-            ids, seen, frequent = lookup.find(tokens)
+            ids, logs, frequent = lookup.find(tokens)
             sizes = np.diff(first)
-            logs = np.log10(seen + 1.0)
             outside = ids == lookup.other
             base = _per_text(logs, first) - sizes * log_z
             extra = _per_text(np.where(outside, logs, 0.0), first) - _per_text(outside, first) * log_other
-            rare: list[list[dict]] = [[] for _ in sizes]
             where = np.flatnonzero(~frequent)
-            if len(where):
-                owner = np.searchsorted(first, where, side="right") - 1
-                pairs = np.stack([owner.astype(np.uint64), tokens[where]], axis=1)
-                by = np.lexsort((pairs[:, 1], pairs[:, 0]))
-                pairs = pairs[by]
-                change = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)]))
-                times = np.diff(np.append(change, len(pairs)))
-                for o, w, k in zip(pairs[change, 0].tolist(), pairs[change, 1].view(np.int64).tolist(), times.tolist(), strict=True):
-                    rare[o].append({"hash": w, "n": k})
-            known = _per_text(seen > 0, first).astype(np.int64)
-            packed = ids.astype("<u2")
-            arrays = [pa.array(sizes), pa.array(known), pa.array(base), pa.array(extra), pa.array(rare, _RARE), pa.array([packed[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())]
+            owner, words = np.searchsorted(first, where, side="right") - 1, tokens[where]
+            by = np.lexsort((words, owner))
+            owner, words = owner[by], words[by]
+            change = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (words[1:] != words[:-1]))[: len(words)])
+            times = np.diff(np.append(change, len(words)))
+            pairs = pa.StructArray.from_arrays([pa.array(words[change].view(np.int64)), pa.array(times)], fields=list(_RARE.value_type))
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[change], np.arange(len(sizes) + 1)), pa.int32()), pairs, type=_RARE)
+            known = _per_text(logs > 0, first).astype(np.int64)
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(2 * first.astype(np.int64)), pa.py_buffer(ids.astype("<u2"))])
+            arrays = [pa.array(sizes), pa.array(known), pa.array(base), pa.array(extra), rare, packed.cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "held_out", "n_tokens", "n_known", "base", "extra", "rare", "ids"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, extra double, rare array<struct<hash:long,n:long>>, ids binary"
@@ -404,14 +500,16 @@ def encode(docs: DataFrame, lookup: Lookup, log_z: float, log_other: float) -> D
 
 
 def _groups(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.RecordBatch]:
-    """The rows in groups of about so many tokens, by the column ``ids``; a longer text is a group
-    of its own."""
+    """The rows of each batch in groups of at most about so many tokens, by the column ``ids``, and
+    of about the same size; a longer text is a group of its own."""
     for batch in batches:
         ends = np.cumsum(pc.binary_length(batch.column("ids")).to_numpy() // 2)
+        whole = int(ends[-1]) if len(ends) else 0
+        most = -(-whole // max(1, -(-whole // tokens)))
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + tokens, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -420,13 +518,33 @@ def _documents(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
 
 
+def _lessons(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[list[np.ndarray]]:
+    """The texts in groups of about so many tokens, over batches' ends."""
+    kept: list[np.ndarray] = []
+    size = 0
+    for group in _groups(batches, tokens):
+        more = _documents(group)
+        n = sum(map(len, more))
+        if kept and size + n > tokens:
+            yield kept
+            kept, size = [], 0
+        kept += more
+        size += n
+    if kept:
+        yield kept
+
+
 def train(encoded: DataFrame, net: Network, end: int) -> int:
     """Train the network on every row of ``encoded`` that is not held out; returns the tokens.
 
+    Partitions are joined until a task has some ``TASK_TOKENS`` in a round: with few texts at once,
+    most steps are those of the longest ones alone.
     The weights that tasks give out are averaged, weighted by their tokens, in ``PIECES`` pieces
     by as many tasks; the driver gets the pieces of one network only.
     """
     names, done = sorted(net.p), 0
+    cores = encoded.sparkSession.sparkContext.defaultParallelism
+    tasks = cores * max(1, -(-net.tokens // (ROUNDS * TASK_TOKENS * cores)))
     shard = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(ROUNDS))
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,13 +563,13 @@ def train(encoded: DataFrame, net: Network, end: int) -> int:
 
         def run(batches: Iterator[pa.RecordBatch], rate: float = rate) -> Iterator[pa.RecordBatch]:
             tokens = 0
-            for group in _groups(batches, TRAIN_GROUP):
-                tokens += net.fit(_documents(group), end, rate)[0]
+            for documents in _lessons(batches, TRAIN_GROUP):
+                tokens += net.fit(documents, end, rate)[0]
             if tokens:
                 flat = np.array_split(np.concatenate([net.p[k].reshape(-1) for k in names]), PIECES)
                 yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([tokens] * PIECES, pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in flat], pa.binary())], ["piece", "n", "weights"])
 
-        lessons = encoded.where(~F.col("held_out") & (shard == turn)).select("ids")
+        lessons = encoded.where(~F.col("held_out") & (shard == turn)).select("ids").coalesce(tasks)
         parts = lessons.mapInArrow(reusing(run), "piece int, n long, weights binary").repartition(PIECES, "piece")
         found = sorted(parts.mapInArrow(average, "piece int, n long, weights binary").collect())
         if found:
